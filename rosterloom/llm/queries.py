@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import bpe, packing
+from rosterloom.llm import bpe, packing, quality, secrets, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity; kept where it is low."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade_toxicity(docs, model)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, log-likelihood ratio and verdict."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
@@ -34,5 +46,38 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_byte_bpe": op5_byte_bpe}
+def _span_digest(spans: str, kinds: tuple[str, ...]) -> Column:
+    """Lowercase hex of kind:start:end, comma-joined, of the spans of some kinds."""
+    some = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.sha2(_span_text(some).cast("binary"), 256)
+
+
+def _span_text(spans: Column | str) -> Column:
+    text = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(text, ",")
+
+
+def _span_count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
+    base = ("assign", "access", "hex")
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(_span_count("spans", k).alias(f"n_{k}") for k in base),
+        _span_digest("spans", base).alias("base_sha256"),
+        _span_text("spans").alias("spans"),
+    )
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op10_secrets": op10_secrets,
+}
 ORACLE_SQL: dict[str, str] = {}
