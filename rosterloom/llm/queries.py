@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import bpe, packing, quality, secrets, toxicity
+from rosterloom.llm import bpe, packing, pii, quality, secrets, toxicity
+from rosterloom.llm.scratch import Scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,6 +62,17 @@ def _span_count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data and the terms that give it away."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"), Scratch(spark))
+    return found.select(
+        "doc_id",
+        *(_span_count("spans", k).alias(f"n_{k}") for k in pii.BASE),
+        _span_digest("spans", pii.BASE).alias("base_sha256"),
+        _span_text("spans").alias("spans"),
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets."""
     base = ("assign", "access", "hex")
@@ -78,6 +90,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_pii": op7_pii,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
