@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import bpe, packing, pii, quality, secrets, toxicity
+from rosterloom.llm import bpe, packing, pii, quality, repeats, secrets, shingle_join, toxicity
 from rosterloom.llm.scratch import Scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +73,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that repeats an earlier one."""
+    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of similar ones."""
+    found = shingle_join.jaccard_classes(table(spark, sf_dir, "documents"), Scratch(spark), n=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets."""
     base = ("assign", "access", "hex")
@@ -91,6 +102,8 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_pii": op7_pii,
+    "op8_repeats": op8_repeats,
+    "op9_shingle_join": op9_shingle_join,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
