@@ -1,15 +1,62 @@
-"""The corpus pipeline: cleans ``documents`` in stages and packs what is left."""
+"""The corpus pipeline: cleans ``documents`` in stages and packs what is left.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs. All but the last return the
+columns of documents; texts that a stage changes get their n_chars anew.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rosterloom.llm import packing, pii, repeats, shingle_join, toxicity
+from rosterloom.llm.scratch import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity is low."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    return shingle_join.keep_first(docs, Scratch(spark), n=5, num=80, den=100)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that repeat an earlier one."""
+    return repeats.drop_repeats(docs, Scratch(spark)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without personal data and the terms that give it away."""
+    return pii.sanitise(docs, Scratch(spark)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of power-of-two lengths."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("pii", hide_personal_data),
+    ("packing", pack_sequences),
+]
+#: SQL can express neither the trained model nor the tokenizer.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import bpe, packing, pii, quality, repeats, secrets, shingle_join, toxicity
+from rosterloom.llm import bpe, packing, pii, quality, repeats, secrets, shingle_join, toxicity, vector_dups
 from rosterloom.llm.scratch import Scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component."""
+    return vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's expected severity; kept where it is low."""
     docs = table(spark, sf_dir, "documents")
@@ -98,6 +103,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_vector_dups": op2_vector_dups,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_byte_bpe": op5_byte_bpe,
