@@ -57,7 +57,7 @@ def parse_long_date(c: Column | str) -> Column:
     """struct(date, day_name) of "<day name> 12 <month> 2026"; the first number is
     the day, the next month name the month, the next number the year. The day
     name is optional. Null if a part is missing."""
-    words = F.split(strip_accents(upper_plain(trim_space(c))), r"[\s,]+")
+    words = F.split(upper_plain(strip_accents(trim_space(c))), r"[\s,]+")
     months = F.array(*map(F.lit, MONTH_NAMES))
     days = F.array(*map(F.lit, DAY_NAMES))
     empty = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"), F.lit(0).alias("y"), F.lit("").alias("name"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BOX = "array<struct<x0:int,y0:int,x1:int,y1:int>>"
-GRID = "struct<data:binary,w:int,h:int>"
+BOX = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("x0", "y0", "x1", "y1")]))
+GRID = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType())])
 
 
 def grid(img) -> np.ndarray:
@@ -129,11 +130,11 @@ def resized(img: pd.DataFrame, w: pd.Series, h: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([pack(resize(grid(i), int(a), int(b))) for i, a, b in zip(img.to_dict("records"), w, h, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def skew(img: pd.DataFrame) -> pd.Series:
     return pd.Series([skew_angle(grid(i)) for i in img.to_dict("records")])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def has_bright_border(img: pd.DataFrame) -> pd.Series:
     return pd.Series([bright_border(grid(i)) for i in img.to_dict("records")])

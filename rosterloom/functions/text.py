@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values ---------------------------------------------------------
 #: Latin capitals and the Greek capitals they are mistaken for.
@@ -49,13 +50,13 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition; null stays null."""
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_entities(text: pd.Series) -> pd.Series:
     """All named and numeric HTML entities; null stays null."""
     return text.map(html.unescape, na_action="ignore")

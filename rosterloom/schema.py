@@ -3,13 +3,6 @@ empty inside the engine and -1 in a verdict means "not asked"."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _ddl(text: str) -> T.StructType:
-    return T._parse_datatype_string(" ".join(text.split()))
-
-
 PERIOD_POINT = "STRUCT<day: BIGINT, hour: BIGINT, minute: BIGINT>"
 HOURS = f"STRUCT<weekday_descriptions: ARRAY<STRING>, periods: ARRAY<STRUCT<open: {PERIOD_POINT}, close: {PERIOD_POINT}>>, open_now: BOOLEAN>"
 DETAILS = f"""STRUCT<place_id: STRING, formatted_address: STRING, phone_international: STRING, website: STRING,
