@@ -119,13 +119,13 @@ class Encoder:
         # the rank files' own library takes \s as the White_Space property
         self._pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self._low = [0] * ((max(self.ranks.values(), default=0) >> 8) + 1)
-        self._lexicon = Lexicon(lambda pieces: [merge_piece(p, self.ranks, self._low) for p in pieces])
+        self.lexicon = Lexicon(lambda pieces: [merge_piece(p, self.ranks, self._low) for p in pieces])
         tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self._bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self._len = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        self._at = np.cumsum(self._len) - self._len
+        self.lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        self._at = np.cumsum(self.lengths) - self.lengths
 
     def encode_text(self, text: bytes) -> list[int]:
         return [i for piece in self._pattern.findall(text.decode()) for i in merge_piece(piece.encode(), self.ranks, self._low)]
@@ -133,14 +133,14 @@ class Encoder:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, pa.ListArray]]:
         """First row, rows and ids of each chunk of a column of texts."""
         for chunk in chunks(column):
-            values, counts = chunk_ids(chunk, True, self._lexicon, self.encode_text)
+            values, counts = chunk_ids(chunk, True, self.lexicon, self.encode_text)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield chunk.first, chunk.n, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         offsets = ids.offsets.to_numpy().astype(np.int64)
         values = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
-        sizes = self._len[values]
+        sizes = self.lengths[values]
         data = self._bytes[ragged(self._at[values], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         bounds = ends[offsets - offsets[0]]

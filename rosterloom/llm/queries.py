@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import bpe, packing, pii, quality, repeats, secrets, shingle_join, toxicity, vector_dups
+from rosterloom.llm import bpe, packing, pii, quality, repeats, secrets, shingle_join, token_counts, toxicity, vector_dups
 from rosterloom.llm.scratch import Scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,11 @@ def _span_count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every line of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data and the terms that give it away."""
     found = pii.find_pii(table(spark, sf_dir, "documents"), Scratch(spark))
@@ -107,6 +112,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_token_counts": op6_token_counts,
     "op7_pii": op7_pii,
     "op8_repeats": op8_repeats,
     "op9_shingle_join": op9_shingle_join,
