@@ -10,8 +10,8 @@ smallest hash of their id). The labels only say toxic or not, so the grades of
 toxic rows follow from evidence: words that the sample holds almost only in
 toxic rows. Grade 1 has at most one such word, grade 2 two or three, grade 3
 more. Copies of one text would otherwise pass for independent evidence, so rows
-sharing the least hash of their words share one unit of weight. Weights are kept
-sparse by an L1 penalty.
+sharing the least hash of their rare words share one unit of weight. Weights are
+kept sparse by an L1 penalty.
 
 Null and empty texts have no words and get the grade of no evidence. Without
 labels, or without toxic ones, every document is kept at severity 0. Equal rows
@@ -84,20 +84,35 @@ class Model:
 NOTHING = Model(np.empty(0, dtype=U64), np.empty(0), np.full(GRADES - 1, 700.0))
 
 
-def fit(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, copies: np.ndarray, penalty: float = 2e-4, steps: int = 400, rate: float = 0.2) -> Model:
-    """rows, words: which row holds which word; toxic: 0 or 1 by row; copies:
-    a number by row, equal for copies. Proximal gradient descent with momentum."""
-    _, group = np.unique(copies, return_inverse=True)
-    weight = 1.0 / np.bincount(group)[group]
+def copy_groups(rows: np.ndarray, words: np.ndarray, col: np.ndarray, n: int, rare: float = 0.05) -> np.ndarray:
+    """A number for each row, equal for most copies of one text: the least hash
+    of its words that few rows have; rows without such words are on their own."""
+    count = np.bincount(col)
+    few = (count[col] <= rare * n) & (count[col] > 1)
+    least = np.full(n, np.iinfo(np.uint64).max, dtype=U64)
+    np.minimum.at(least, rows[few], words[few])
+    _, group = np.unique(least, return_inverse=True)
+    alone = least == np.iinfo(np.uint64).max
+    group[alone] = n + np.arange(int(alone.sum()))
+    return np.unique(group, return_inverse=True)[1]
+
+
+def fit(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, penalty: float = 2e-4, steps: int = 400, rate: float = 0.2) -> Model:
+    """rows, words: which row holds which word; toxic: 0 or 1 by row. Proximal
+    gradient descent with momentum."""
     known, col = np.unique(words, return_inverse=True)
+    group = copy_groups(rows, words, col, len(toxic))
+    weight = 1.0 / np.bincount(group)[group]
     support = np.bincount(col, weights=weight[rows])
     in_toxic = np.bincount(col, weights=(weight * toxic)[rows])
     share = float((weight * toxic).sum() / weight.sum())
     if share == 0.0:
         return NOTHING
     spread = np.sqrt(np.maximum(support * share * (1 - share), 1e-9))
-    useful = (support >= 4) & (np.abs(in_toxic - support * share) > 4 * spread)
-    evidence = useful & (in_toxic >= 0.8 * support) & (in_toxic > 3)
+    useful = (support >= 3) & (np.abs(in_toxic - support * share) > 4 * spread)
+    if not useful.any():
+        return NOTHING
+    evidence = useful & (in_toxic >= 0.8 * support) & (in_toxic > 2.5)
     found = np.bincount(rows, weights=evidence[col], minlength=len(toxic))
     grade = np.where(toxic == 1, 1 + sum((found >= s).astype(int) for s in STEPS), 0)
     known, place = known[useful], np.cumsum(useful) - 1
@@ -146,7 +161,7 @@ def train(df: DataFrame, labels: DataFrame, train_rows: int = 12_000, label_col:
         return NOTHING
     sets, toxic = [sets[i] for i in keep], got["toxic"].to_numpy()[keep]
     rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    return fit(rows, np.concatenate(sets), toxic, np.array([x[0] for x in sets]))
+    return fit(rows, np.concatenate(sets), toxic)
 
 
 def grade_toxicity(df: DataFrame, model: Model, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
