@@ -118,4 +118,24 @@ QUERIES = {
     "op9_shingle_join": op9_shingle_join,
     "op10_secrets": op10_secrets,
 }
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The other operators have no SQL: they rest on models, tokenizers or offsets of matches.
+ORACLE_SQL: dict[str, str] = {
+    "op2_vector_dups": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+        r AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT node, b FROM r JOIN l ON seen = a)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM (SELECT node AS vec_id, min(seen) AS component_id FROM r GROUP BY node)""",
+    "op9_shingle_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))))
+                                  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        c AS (SELECT doc_id, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM s),
+        g AS (SELECT class_id AS d, len(s) AS n, unnest(s) AS g FROM c WHERE doc_id = class_id),
+        p AS (SELECT x.d AS a, y.d AS b, count(*) AS shared, any_value(x.n) AS na, any_value(y.n) AS nb FROM g x JOIN g y ON x.g = y.g AND x.d <> y.d GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared)),
+        r AS (SELECT DISTINCT class_id AS node, class_id AS seen FROM c UNION SELECT node, b FROM r JOIN l ON seen = a),
+        k AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+        SELECT doc_id, len(s) AS n_shingles, component_id, class_id FROM c JOIN k ON class_id = node""",
+}
