@@ -14,6 +14,7 @@ lie in one component by then need no more. The others are multiplied out: for
 each pair of rows of different components the overlap counts are accumulated,
 and a pair is dropped when its overlap so far and the most that the rest of both
 sets can add stay below the bound that follows from the sizes. What is left is
+held against a second bound, from the sets' sizes by block of columns, and then
 compared exactly on whole sets. So no link between components is missed, and
 pairs within a component are not all made.
 
@@ -38,6 +39,10 @@ from rosterloom.llm.scratch import Scratch
 from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, chunks, mix, slice_hashes
 
 
+#: Blocks of columns whose sizes bound the overlap of two sets.
+BLOCKS = 256
+
+
 def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of a chunk's rows, sorted by row and hash: hash, row."""
     data = LOWER[chunk.data]
@@ -79,6 +84,21 @@ def _digests(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         return mix(running[ends] - running[ends - size] + size.astype(U64)).view(np.int64), size
 
 
+def size_sketches(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Each row's shingles counted by block of columns, up to 255."""
+    cells = rows * BLOCKS + (h & U64(BLOCKS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=n * BLOCKS), 255).astype(np.uint8).reshape(n, BLOCKS)
+
+
+def overlap_bounds(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """The most that pairs of sets can share, from their sizes by block. A full
+    cell may hold more, so it counts as the whole smaller set."""
+    low = np.minimum(x, y).astype(np.int64)
+    most = low.sum(axis=1)
+    full = ((x == 255) & (y == 255)).any(axis=1)
+    return np.where(full, np.minimum(nx, ny), most)
+
+
 def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """How many columns of a set of n must be looked at."""
     return np.where(n > 0, n + 1 - -(-num * n // den), 0)
@@ -103,7 +123,8 @@ def _loads(df: DataFrame, n: int, bits: int, text_col: str) -> np.ndarray:
 
 
 def _prefixes(df: DataFrame, n: int, num: int, den: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id, digest, n (set size), prefix array<long>, in column order."""
+    """One row per document: id, digest, n (set size), sketch (sizes by block),
+    prefix array<long> (in column order)."""
     loads = df.sparkSession.sparkContext.broadcast(_loads(df, n, bits, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,41 +139,70 @@ def _prefixes(df: DataFrame, n: int, num: int, den: int, bits: int, id_col: str,
                 kept = h[order][take].view(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(prefix_size(size, num, den))]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(bounds), pa.array(kept))
-                columns = [batch.column(0).slice(chunk.first, chunk.n), pa.array(digest), pa.array(size.astype(np.int64)), prefix]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "prefix"])
+                sketch = pa.Array.from_buffers(pa.binary(), chunk.n, [None, pa.py_buffer((np.arange(chunk.n + 1) * BLOCKS).astype(np.int32)), pa.py_buffer(size_sketches(h, rows, chunk.n).tobytes())])
+                columns = [batch.column(0).slice(chunk.first, chunk.n), pa.array(digest), pa.array(size.astype(np.int64)), sketch, prefix]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "sketch", "prefix"])
 
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("digest", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("digest", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
 class _Verifier:
-    """Compares pairs of sets exactly and remembers which pairs it has seen."""
+    """Compares pairs of sets exactly and remembers which pairs it has seen.
+
+    Pairs are first held against the bound from their sizes by block, on sketches
+    of fixed size. Whole sets are only built for what is left: the texts are read
+    again, and a bit array of fixed size, broadcast, says which rows may be
+    wanted, so that the other texts are neither shingled nor shuffled.
+    """
 
-    def __init__(self, df: DataFrame, reps: DataFrame, scratch: Scratch, n: int, num: int, den: int, id_col: str, text_col: str) -> None:
-        self._texts, self._reps, self._scratch = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), reps, scratch
+    def __init__(self, df: DataFrame, reps: DataFrame, scratch: Scratch, n: int, num: int, den: int, id_col: str, text_col: str, filter_bits: int = 20) -> None:
+        self._texts = df.select(F.xxhash64(id_col).alias("cell"), F.col(text_col).alias("text"))
+        self._reps, self._scratch, self._bits = reps, scratch, filter_bits
         self._n, self._num, self._den = n, num, den
         self.seen: DataFrame | None = None
 
+    def _within_bounds(self, pairs: DataFrame) -> DataFrame:
+        num, den = self._num, self._den
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                nx, ny = (batch.column(i).to_numpy() for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BLOCKS) for i in (4, 5))
+                keep = overlap_bounds(x, y, nx, ny) * (den + num) >= (nx + ny) * num
+                yield batch.select([0, 1]).filter(pa.array(keep))
+
+        side = lambda k, n, s: self._reps.select(F.col("node").alias(k), F.col("n").alias(n), F.col("sketch").alias(s))
+        both = pairs.join(side("a", "nx", "sx"), "a").join(side("b", "ny", "sy"), "b")
+        return both.select("a", "b", "nx", "ny", "sx", "sy").mapInArrow(run, "a long, b long")
+
     def _sets(self, pairs: DataFrame) -> DataFrame:
-        """node, set (sorted hashes, packed) of the nodes in pairs."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = self._reps.join(nodes, "node", "left_semi").select("id", "node")
-        n = self._n
+        """node, set (sorted hashes, packed) of the nodes in pairs, and of a few others."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+        wanted = self._reps.join(nodes, "node", "left_semi")
+        shift, n = U64(64 - self._bits), self._n
+        cells = wanted.select(F.shiftrightunsigned(F.xxhash64("id"), 64 - self._bits).alias("cell")).distinct().toPandas()["cell"]
+        marks = np.zeros(1 << self._bits, dtype=bool)
+        marks[cells.to_numpy(dtype=np.int64)] = True
+        marks = self._texts.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marked = np.unpackbits(marks.value).astype(bool)
             for batch in batches:
-                for chunk in chunks(batch.column(1)):
+                cell = (batch.column(0).to_numpy().view(U64) >> shift).astype(np.int64)
+                for chunk in chunks(batch.filter(pa.array(marked[cell])).column(1)):
                     if not len(chunk.data):
                         continue
                     h, rows = shingle_sets(chunk, n)
                     digest, size = _digests(h, rows, chunk.n)
                     bounds = (np.concatenate([[0], np.cumsum(size)]) * 8).astype(np.int32)
                     packed = pa.Array.from_buffers(pa.binary(), chunk.n, [None, pa.py_buffer(bounds), pa.py_buffer(h.tobytes())])
-                    own = pa.array(digest == batch.column(0).slice(chunk.first, chunk.n).to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array(digest), packed], names=["node", "set"]).filter(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(digest), packed], names=["node", "set"])
 
-        sets = self._texts.join(wanted, "id").select("node", "text").mapInArrow(run, "node long, set binary")
-        return sets.dropDuplicates(["node"])
+        sets = self._texts.mapInArrow(run, "node long, set binary")
+        return sets.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), a < b, not seen before, those that are similar."""
@@ -161,6 +211,9 @@ class _Verifier:
             pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
         pairs = self._scratch.keep(pairs)
         self.seen = pairs if self.seen is None else self.seen.union(pairs)
+        close = self._scratch.keep(self._within_bounds(pairs))
+        if close.isEmpty():
+            return close
         num, den = self._num, self._den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +225,11 @@ class _Verifier:
                     keep[i] = den * both >= num * (len(x) + len(y) - both)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-        sets = self._scratch.keep(self._sets(pairs))
-        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+        sets = self._scratch.keep(self._sets(close))
+        left = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         full = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         found = self._scratch.keep(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-        self._scratch.drop(sets)
+        self._scratch.drop(sets, close)
         return found
 
 
@@ -199,10 +252,10 @@ def jaccard_classes(
     same set) and component_id (least id reachable by links of similarity
     num / den or more, itself included)."""
     docs = scratch.keep(_prefixes(df, n, num, den, sketch_bits, id_col, text_col))
-    reps = docs.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("id"))
-    reps = scratch.keep(reps.select(F.col("digest").alias("node"), "n", "id"))
+    reps = docs.where("n > 0").groupBy("digest", "n").agg(F.min(F.struct("id", "sketch")).alias("least"))
+    reps = scratch.keep(reps.select(F.col("digest").alias("node"), "n", "least.id", "least.sketch"))
     # one row of the matrix per class; equal ids with other sets fall away by the digest
-    rows = docs.join(reps.select(F.col("id"), F.col("node").alias("digest")), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    rows = docs.select("id", "digest", "n", "prefix").join(reps.select(F.col("id"), F.col("node").alias("digest")), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     entries = rows.select(F.col("digest").alias("node"), "n", F.posexplode("prefix").alias("pos", "column"))
     by_size = Window.partitionBy("column").orderBy("n", "node")
     shared = (
