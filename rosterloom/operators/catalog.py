@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import checks, text
 
+# --- fixed values ---------------------------------------------------------
 FUZZY_MATCH, FUZZY_HINT, NAME_MISMATCH = 0.55, 0.30, 0.45
+NOTE_MISMATCH = "name mismatch with catalog (%s vs %s)"
+NOTE_CLOSEST = "phone not found in catalog for %s (closest: %s %s)"
+NOTE_HINT = "no catalog match for %s (closest: %s)"
+LABEL_PHONE, LABEL_ENTRY, LABEL_NONE = "phone %s", 'entry "%s"', "entry without phone or name"
+# --------------------------------------------------------------------------
 
 
 def by_phone(catalog: DataFrame) -> DataFrame:
@@ -91,7 +97,7 @@ def unmatched(entries: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def entry_label(phone: Column | str = "phone", name: Column | str = "name") -> Column:
     phone, name = (F.col(c) if isinstance(c, str) else c for c in (phone, name))
-    return F.when(phone != "", F.concat(F.lit("phone "), phone)).when(name != "", F.concat(F.lit('entry "'), name, F.lit('"'))).otherwise("entry without phone or name")
+    return F.when(phone != "", F.format_string(LABEL_PHONE, phone)).when(name != "", F.format_string(LABEL_ENTRY, name)).otherwise(LABEL_NONE)
 
 
 def validate(entries: DataFrame, catalog: DataFrame, keys: list[str], picks: DataFrame | None = None) -> DataFrame:
@@ -113,9 +119,9 @@ def validate(entries: DataFrame, catalog: DataFrame, keys: list[str], picks: Dat
     by_number = F.col("ref_no").isNotNull()
     mismatch = text.similarity(text.transliterate("name"), text.transliterate("ref_name")) < NAME_MISMATCH
     note = (
-        F.when(by_number & mismatch & (F.col("name") != ""), F.format_string("name mismatch with catalog (%s vs %s)", "name", "ref_name"))
-        .when(F.col("level") == "match", F.format_string("phone not found in catalog for %s (closest: %s %s)", "name", "best_name", "cat_phone"))
-        .when(F.col("level") == "hint", F.format_string("no catalog match for %s (closest: %s)", "name", "best_name"))
+        F.when(by_number & mismatch & (F.col("name") != ""), F.format_string(NOTE_MISMATCH, "name", "ref_name"))
+        .when(F.col("level") == "match", F.format_string(NOTE_CLOSEST, "name", "best_name", "cat_phone"))
+        .when(F.col("level") == "hint", F.format_string(NOTE_HINT, "name", "best_name"))
         .otherwise("")
     )
     match = F.when(by_number, F.col("ref_no")).when(F.col("level") == "match", F.col("cat_no"))

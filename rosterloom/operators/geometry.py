@@ -100,6 +100,11 @@ def keep_component(w: Column, h: Column, score: Column, least_side: int = 3, lea
     return (F.least(w, h) >= least_side) & (score >= least_score) & (grown >= least_grown)
 
 
+def wide_enough(x0: str, x1: str, least: int = 16) -> Column:
+    """Whether a crop is worth reading."""
+    return F.col(x1) - F.col(x0) >= least
+
+
 def largest_by_area(df: DataFrame, keys: list[str], w: Column, h: Column, value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, w * h).alias(value))
 

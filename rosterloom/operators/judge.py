@@ -17,6 +17,16 @@ from rosterloom.operators.catalog import entry_label, top1
 
 Judge = Callable[[DataFrame], DataFrame]
 
+# --- fixed values: texts of warnings, in the order in which they are tried ---
+SEVERAL = "phone %s matches several catalog entries"
+FAILED = " and identity adjudication failed"
+NO_CANDIDATE = "; adjudicator found no confident candidate (confidence %.2f, same-pharmacy %.2f)"
+UNKNOWN = ' and identity adjudication chose an unknown candidate "%s"'
+BELOW = "; adjudicator confidence %.2f / same-pharmacy %.2f below the gate"
+KEPT = "; kept the similarity pick"
+OVERRIDE = "; adjudicator selected %s instead of the similarity pick %s"
+# -----------------------------------------------------------------------------
+
 
 @dataclass(frozen=True)
 class Gates:
@@ -91,16 +101,16 @@ def judged_picks(groups: DataFrame, verdicts: DataFrame, picks: DataFrame, keys:
     joined = groups.join(picks.select(*keys, F.col("ref_no").alias("_sim"), F.col("ref_name").alias("_sim_name")), keys).join(verdicts, keys, "left")
     chosen = F.get(F.filter("candidates", lambda c: c["id"] == F.col("choice")), F.lit(0))
     passes = checks.accept_identity("choice", "confidence", "same", gates.identity_confidence, gates.identity_same)
-    many = F.concat(F.lit("phone "), F.col("phone"), F.lit(" matches several catalog entries"))
-    numbers = F.format_string("%.2f", F.col("confidence")), F.format_string("%.2f", F.col("same"))
-    kept = F.lit("; kept the similarity pick")
+    def kept(template: str, *values: Column | str) -> Column:
+        return F.format_string(SEVERAL + template + KEPT, "phone", *values)
+
     reason = (
-        F.when(F.col("choice").isNull(), F.concat(many, F.lit(" and identity adjudication failed"), kept))
-        .when(F.col("choice") == "none", F.concat(many, F.lit("; adjudicator found no confident candidate (confidence "), numbers[0], F.lit(", same-pharmacy "), numbers[1], F.lit(")"), kept))
-        .when(chosen.isNull(), F.concat(many, F.lit(' and identity adjudication chose an unknown candidate "'), F.col("choice"), F.lit('"'), kept))
-        .when(~passes, F.concat(many, F.lit("; adjudicator confidence "), numbers[0], F.lit(" / same-pharmacy "), numbers[1], F.lit(" below the gate"), kept))
+        F.when(F.col("choice").isNull(), kept(FAILED))
+        .when(F.col("choice") == "none", kept(NO_CANDIDATE, "confidence", "same"))
+        .when(chosen.isNull(), kept(UNKNOWN, "choice"))
+        .when(~passes, kept(BELOW, "confidence", "same"))
     )
-    override = F.when(chosen["ref_no"] != F.col("_sim"), F.concat(many, F.lit("; adjudicator selected "), chosen["name"], F.lit(" instead of the similarity pick "), F.col("_sim_name")))
+    override = F.when(chosen["ref_no"] != F.col("_sim"), F.format_string(SEVERAL + OVERRIDE, "phone", chosen["name"], "_sim_name"))
     accepted = reason.isNull()
     return joined.select(*keys, F.when(accepted, chosen["ref_no"]).otherwise(F.col("_sim")).alias("ref_no"), accepted.alias("judged"), F.coalesce(reason, override).alias("warning"))
 
