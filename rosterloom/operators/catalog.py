@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterloom.functions import checks, text
+from rosterloom.operators.geometry import short_list
 
 # --- fixed values ---------------------------------------------------------
 FUZZY_MATCH, FUZZY_HINT, NAME_MISMATCH = 0.55, 0.30, 0.45
@@ -56,9 +57,9 @@ def fuzzy_best(entries: DataFrame, names: DataFrame, key: str, name: str, ref_na
     """Each entry's most similar catalog name, ties to the smaller name:
     best_name, best_score, and level (match, hint or none).
 
-    Distinct keys are compared, not rows, and only on the side of the entries
-    asked for; the catalog is a reference list whose size is the reader's to
-    know. With blocks, only entries of equal block are compared, as an equi-join.
+    Distinct keys are compared, not rows. The names are broadcast as one array of
+    checked size; for more names give blocks, and only entries of equal block are
+    compared, as an equi-join.
     """
     left = entries.select(F.col(name).alias("_name")).distinct()
     right = names.select(F.col(ref_name).alias("best_name")).distinct()
@@ -66,7 +67,7 @@ def fuzzy_best(entries: DataFrame, names: DataFrame, key: str, name: str, ref_na
         left, right = left.withColumn("_b", block), right.withColumn("_b", ref_block)
         pairs = left.join(right, "_b").drop("_b")
     else:
-        packed = right.agg(F.array_sort(F.collect_set("best_name")).alias("_all"))
+        packed = short_list(right, F.col("best_name"), "_all")
         pairs = left.join(F.broadcast(packed)).select("_name", F.explode("_all").alias("best_name"))
     near = text.name_similarity_squeezed(F.col("_name"), F.col("best_name"), unit)
     scored = pairs.withColumn("best_score", near)

@@ -6,9 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Most rows of a list that may be broadcast as one array.
+SHORT_LIST = 100_000
+
+
+def short_list(df: DataFrame, item: Column, out: str, most: int = SHORT_LIST) -> DataFrame:
+    """One row with the sorted items of a table of at most ``most`` rows; more is
+    an error that names the way out, never a broadcast that grows."""
+    some = df.limit(most + 1).agg(F.array_sort(F.collect_list(item)).alias(out))
+    return some.withColumn(out, F.when(F.size(out) <= most, F.col(out)).otherwise(F.raise_error(F.lit(f"more than {most} rows: use an equi-join on blocks or cells"))))
+
+
 def to_image_space(lines: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
     """Column-local boxes shifted by their column's corner."""
-    corner = F.broadcast(columns.select(*keys, F.col("x0").alias("_dx"), F.col("y0").alias("_dy")))
+    corner = columns.select(*keys, F.col("x0").alias("_dx"), F.col("y0").alias("_dy"))
     moved = {"x0": F.col("x0") + F.col("_dx"), "x1": F.col("x1") + F.col("_dx"), "y0": F.col("y0") + F.col("_dy"), "y1": F.col("y1") + F.col("_dy")}
     return lines.join(corner, keys).withColumns(moved).drop("_dx", "_dy")
 
@@ -49,10 +60,11 @@ def band_nearest(values: DataFrame, bands: DataFrame, row: str, value: str, low:
     """Each value with the band of least |v - low| + |v - high|, the first on ties.
     For band tables that fit in memory: they become one sorted array that each
     value folds over, so there is no join with all pairs."""
-    packed = bands.agg(F.array_sort(F.collect_list(F.struct(F.col(band_ord).alias("o"), F.col(low).alias("lo"), F.col(high).alias("hi")))).alias("_bands"))
+    packed = short_list(bands, F.struct(F.col(band_ord).alias("o"), F.col(low).alias("lo"), F.col(high).alias("hi")), "_bands")
     distance = lambda b: F.abs(F.col(value) - b["lo"]) + F.abs(F.col(value) - b["hi"])
     best = F.array_min(F.transform("_bands", lambda b: F.struct(distance(b).alias("d"), b["o"].alias("o"))))
-    return values.join(F.broadcast(packed)).withColumn("_best", best).withColumns({"distance": F.col("_best.d"), band_ord: F.col("_best.o")}).drop("_best", "_bands").join(F.broadcast(bands), band_ord)
+    found = values.join(F.broadcast(packed)).withColumn("_best", best)
+    return found.withColumns({"distance": F.col("_best.d"), band_ord: F.col("_best.o")}).drop("_best", "_bands").join(bands, band_ord)
 
 
 def column_of_line(lines: DataFrame, columns: DataFrame, key: str = "doc_id", slack: int = 8) -> DataFrame:

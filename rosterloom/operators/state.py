@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterloom.operators.geometry import short_list
+
 
 def latest_by_key(df: DataFrame, keys: list[str], at: list[str], values: list[str]) -> DataFrame:
     """The last put of each key."""
@@ -54,7 +56,7 @@ def single_flight(requests: DataFrame, key: str, order: str) -> DataFrame:
 def interval_pick(points: DataFrame, intervals: DataFrame, row: str, at: str, low: str, high: str, ordinal: str) -> DataFrame:
     """The first interval, by ordinal, that holds a point (both ends closed), else
     the newest one. Intervals are a short list and travel as an array."""
-    packed = intervals.agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(low).alias("lo"), F.col(high).alias("hi")))).alias("_all"))
+    packed = short_list(intervals, F.struct(F.col(ordinal).alias("o"), F.col(low).alias("lo"), F.col(high).alias("hi")), "_all")
     holding = F.filter("_all", lambda i: F.col(at).between(i["lo"], i["hi"]))
     pick = F.coalesce(F.get(holding, F.lit(0))["o"], F.get(F.reverse("_all"), F.lit(0))["o"])
     return points.join(F.broadcast(packed)).withColumn(ordinal, pick).drop("_all")

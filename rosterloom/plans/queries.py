@@ -49,7 +49,7 @@ def normalize_dedupe_docs(spark, d):
 @query
 def similarity_top1_part(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
-    pairs = names.join(F.broadcast(names.select(F.col("p_name").alias("other"))), F.col("p_name") != F.col("other"))
+    pairs = names.join(names.select(F.col("p_name").alias("other")), F.col("p_name") != F.col("other"))
     best = cat.top1(pairs, ["p_name"], text.similarity("p_name", "other"), ["other"])
     return best.select("p_name", "other", F.round("score", 6).alias("score"))
 
