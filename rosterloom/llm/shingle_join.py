@@ -11,8 +11,9 @@ The product is taken by column. First each column links its rows to their
 neighbours by size and to its most connected row, which finds the components of
 most groups of copies with a linear number of comparisons. Columns whose rows
 lie in one component by then need no more. The others are multiplied out: for
-each pair of rows of different components the overlap counts are accumulated,
-and a pair is dropped when its overlap so far and the most that the rest of both
+each pair of rows of different components the overlap counts are accumulated
+over the columns early enough in both rows for the bound to be in reach, and a
+pair is dropped when its overlap so far and the most that the rest of both
 sets can add stay below the bound that follows from the sizes. What is left is
 held against a second bound, from the sets' sizes by block of columns, and then
 compared exactly on whole sets. So no link between components is missed, and
@@ -26,6 +27,7 @@ hashes. Extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 
 from rosterloom.llm.components import components
 from rosterloom.llm.scratch import Scratch
-from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, chunks, mix, slice_hashes
+from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, bounded_batches, chunks, mix, slice_hashes
 
 
 #: Blocks of columns whose sizes bound the overlap of two sets.
@@ -105,21 +107,38 @@ def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _loads(df: DataFrame, n: int, bits: int, text_col: str) -> np.ndarray:
-    """How many shingles fall on each cell of the sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+    """How many shingles fall on each cell of the sketch. Tasks count into arrays
+    and send these by block, compressed; blocks are summed as they stream in."""
+    bounded_batches(df)
+    blocks = max(1, (1 << bits) >> 14)
+    size = (1 << bits) // blocks
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             for chunk in chunks(batch.column(0)):
                 if len(chunk.data):
-                    total += np.bincount((shingle_sets(chunk, n)[0] >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+                    np.add.at(total, (shingle_sets(chunk, n)[0] >> U64(64 - bits)).astype(np.int64), 1)
+        if total.any():
+            packed = [zlib.compress(x.tobytes(), 1) for x in total.reshape(blocks, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), type=pa.int32()), pa.array(packed, type=pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total = sums.setdefault(block, np.zeros(size, dtype=np.int64))
+                total += np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.int32)
+        for block, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], type=pa.int32()), pa.array([total.tobytes()], type=pa.binary())], names=["block", "counts"])
 
-    counted = df.select(text_col).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, dtype=np.int64)
-    out[counted["cell"].to_numpy(dtype=np.int64)] = counted["n"]
-    return out
+    schema = "block int, counts binary"
+    summed = df.select(text_col).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toPandas()
+    out = np.zeros((blocks, size), dtype=np.int64)
+    for block, counts in zip(summed["block"], summed["counts"], strict=True):
+        out[block] = np.frombuffer(counts, dtype=np.int64)
+    # only the order of loads counts; so many fit in 32 bits at any size of input
+    return np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _prefixes(df: DataFrame, n: int, num: int, den: int, bits: int, id_col: str, text_col: str) -> DataFrame:
@@ -244,7 +263,7 @@ def jaccard_classes(
     n: int = 5,
     num: int = 80,
     den: int = 100,
-    sketch_bits: int = 18,
+    sketch_bits: int = 22,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -258,33 +277,35 @@ def jaccard_classes(
     rows = docs.select("id", "digest", "n", "prefix").join(reps.select(F.col("id"), F.col("node").alias("digest")), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     entries = rows.select(F.col("digest").alias("node"), "n", F.posexplode("prefix").alias("pos", "column"))
     by_size = Window.partitionBy("column").orderBy("n", "node")
+    in_column = Window.partitionBy("column")
     shared = (
         entries.withColumn("prev", F.lag(F.struct("node", "n")).over(by_size))
-        .withColumn("next", F.lead("node").over(by_size))
-        .where(F.col("prev").isNotNull() | F.col("next").isNotNull())
-        .select("column", "node", "n", "pos", F.col("prev.node").alias("prev"), F.col("prev.n").alias("prev_n"))
+        .withColumn("df", F.count("*").over(in_column))
+        .where(F.col("df") > 1)
+        .select("column", "node", "n", "pos", "df", F.col("prev.node").alias("prev"), F.col("prev.n").alias("prev_n"))
     )
     shared = scratch.keep(shared)
     verifier = _Verifier(df, reps, scratch, n, num, den, id_col, text_col)
 
     # the row with most company in its columns is the hub of each
-    size = shared.groupBy("column").agg(F.count("*").alias("df"))
-    company = shared.join(size, "column").groupBy("node").agg(F.sum("df").alias("company"))
-    hubs = shared.join(company, "node").groupBy("column").agg(F.max(F.struct("company", "node", "n")).alias("hub")).select("column", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    company = shared.groupBy("node").agg(F.sum("df").alias("company"))
+    hub = F.max(F.struct("company", "node", "n")).over(in_column)
+    hubs = shared.join(company, "node").select("node", "n", hub.alias("hub")).select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     near = shared.select(_ordered("prev", "node", "prev_n", "n", num, den).alias("p"))
-    near = near.union(shared.join(hubs, "column").select(_ordered("hub", "node", "hub_n", "n", num, den).alias("p")))
+    near = near.union(hubs.select(_ordered("hub", "node", "hub_n", "n", num, den).alias("p")))
     links = verifier.links(near.where("p is not null").select("p.*"))
     parts = scratch.keep(components(links, scratch))
 
     # multiply out the columns whose rows are in several components
     placed = shared.select("column", "node", "n", "pos").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = scratch.keep(placed)
-    mixed = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("column")
-    some = placed.join(mixed, "column")
+    mixed = F.min("component").over(in_column) != F.max("component").over(in_column)
+    some = scratch.keep(placed.withColumn("mixed", mixed).where("mixed").drop("mixed"))
     x, y = some.alias("x"), some.alias("y")
     apart = (F.col("x.column") == F.col("y.column")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     fits = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
-    product = x.join(y, apart & fits).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # a similar pair meets first where the rest of both sets still reaches the bound
+    early = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (den + num) >= (F.col("x.n") + F.col("y.n")) * num
+    product = x.join(y, apart & fits & early).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     overlaps = product.agg(F.count("*").alias("both"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"))
     most = F.col("both") + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j"))
     hopeful = overlaps.where(most * (den + num) >= (F.col("na") + F.col("nb")) * num)

@@ -339,17 +339,17 @@ def test_jaccard(spark, n, num):
         texts.append(" ".join(copy))
     texts += ["", None, "a", "A", "a b", " a\x0bb ", "a b c d", "a  b c D", texts[0], "w1 " * 3000]
     docs = frame(spark, texts)
-    got = {r.doc_id: r for r in shingle_join.jaccard_classes(docs, Scratch(spark), n=n, num=num, den=100).collect()}
+    got = {r.doc_id: r for r in shingle_join.jaccard_classes(docs, Scratch(spark), n=n, num=num, den=100, sketch_bits=12).collect()}
     sizes, roots = brute_jaccard(texts, n, num, 100)
     assert [got[i].n_shingles for i in range(len(texts))] == sizes
     assert [got[i].component_id for i in range(len(texts))] == roots
-    kept = shingle_join.keep_first(docs, Scratch(spark), n=n, num=num, den=100)
+    kept = shingle_join.keep_first(docs, Scratch(spark), n=n, num=num, den=100, sketch_bits=12)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(roots)
 
 
 def test_jaccard_empty(spark):
-    assert shingle_join.jaccard_classes(frame(spark, ["x"]).limit(0), Scratch(spark)).count() == 0
-    assert [r.component_id for r in shingle_join.jaccard_classes(frame(spark, ["", None]), Scratch(spark)).orderBy("doc_id").collect()] == [0, 1]
+    assert shingle_join.jaccard_classes(frame(spark, ["x"]).limit(0), Scratch(spark), sketch_bits=12).count() == 0
+    assert [r.component_id for r in shingle_join.jaccard_classes(frame(spark, ["", None]), Scratch(spark), sketch_bits=12).orderBy("doc_id").collect()] == [0, 1]
 
 
 def test_secrets(spark):
