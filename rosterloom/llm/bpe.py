@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rosterloom.llm.pretoken import Lexicon, chunk_ids
-from rosterloom.llm.textbuf import chunks, ragged
+from rosterloom.llm.textbuf import bounded_batches, chunks, ragged
 
 #: Single bits. A lower bitmap has 256 ranks, the upper one a bit for each lower one.
 _BIT = [1 << i for i in range(4096)]
@@ -159,6 +159,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col and ids array<int>. Extra columns are not read."""
+    bounded_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
@@ -173,6 +174,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: id_col, ids and decoded binary."""
+    bounded_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)

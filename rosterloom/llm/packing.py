@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterloom.llm.pretoken import Lexicon, chunk_ids
-from rosterloom.llm.textbuf import Chunk, chunks
+from rosterloom.llm.textbuf import Chunk, bounded_batches, chunks
 
 
 def _byte_signs() -> dict[int, str]:
@@ -82,6 +82,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 204
     bucket (the sequence's length). sequence_id follows the rows' partitions,
     so it is dense within a partition only.
     """
+    bounded_batches(df)
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 

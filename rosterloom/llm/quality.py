@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterloom.llm.textbuf import U64, Chunk, chunks, mix, per_row, slice_hashes
+from rosterloom.llm.textbuf import U64, Chunk, bounded_batches, chunks, mix, per_row, slice_hashes
 
 #: The signs that count as symbols.
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -89,6 +89,7 @@ def base_columns(chunk: Chunk) -> dict[str, np.ndarray]:
 def ngram_counts(df: DataFrame, bits: int, text_col: str = "text") -> DataFrame:
     """How often each bucket occurs in all texts: bucket, n. Each task counts
     into one array; the sums are then taken by bucket."""
+    bounded_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)

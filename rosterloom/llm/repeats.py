@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterloom.llm.scratch import Scratch
-from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, chunks, mix, slice_hashes
+from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, bounded_batches, chunks, mix, slice_hashes
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
@@ -75,6 +75,7 @@ def unit_table(chunk: Chunk, unit_words: int) -> dict[str, np.ndarray]:
 
 def units(df: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFrame:
     """One row per compared unit: id, seq, start, end, words, d1, d2."""
+    bounded_batches(df)
     names = ("seq", "start", "end", "words", "d1", "d2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rosterloom.llm.textbuf import LOWER, Chunk, chunks
+from rosterloom.llm.textbuf import LOWER, Chunk, bounded_batches, chunks
 
 #: Kinds in their order within equal starts.
 KINDS = ("assign", "access", "hex", "checksum")
@@ -120,6 +120,7 @@ _SCANNER: list[Scanner] = []
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col and spans array<struct<kind,start,end>> in order of start, then kind."""
+    bounded_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _SCANNER:

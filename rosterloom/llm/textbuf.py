@@ -14,9 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -28,6 +29,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Bytes of a batch that Spark hands to Python; texts may be long.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Lowers the session's limit on an Arrow batch's bytes, unless it is lower already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     key = str(base)
     have = _POWERS.get(key)

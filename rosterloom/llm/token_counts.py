@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from rosterloom.llm.bpe import encoder
 from rosterloom.llm.pretoken import chunk_ids
-from rosterloom.llm.textbuf import Chunk, chunks
+from rosterloom.llm.textbuf import Chunk, bounded_batches, chunks
 
 _LONGS = ("start", "end", "n_tokens", "n_crossing", "doc_tokens")
 
@@ -73,6 +73,7 @@ def count_tokens(df: DataFrame, ranks_path: str, pattern: str, sections_col: str
     sections_col: array<struct<start, end>> in order, in code points; by default
     the lines of the text, those without a sign left out.
     """
+    bounded_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)

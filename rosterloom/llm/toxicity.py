@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterloom.llm.textbuf import LOWER, U64, Chunk, chunks, slice_hashes
+from rosterloom.llm.textbuf import LOWER, U64, Chunk, bounded_batches, chunks, slice_hashes
 
 GRADES = 4
 #: Least number of evidence words of grades 2 and 3.
@@ -140,6 +140,7 @@ def fit(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, penalty: float =
 
 def train(df: DataFrame, labels: DataFrame, train_rows: int = 12_000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Only the sampled rows' ids are broadcast, and only their words come to the driver."""
+    bounded_batches(df)
     wanted = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_toxic"))
     wanted = wanted.orderBy(F.xxhash64(id_col), id_col).limit(train_rows)
     sample = df.select(id_col, text_col).join(F.broadcast(wanted), id_col).select(text_col, "_toxic")
@@ -166,6 +167,7 @@ def train(df: DataFrame, labels: DataFrame, train_rows: int = 12_000, label_col:
 
 def grade_toxicity(df: DataFrame, model: Model, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, expected_severity, grade (the median one), kept."""
+    bounded_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +185,7 @@ def grade_toxicity(df: DataFrame, model: Model, limit: float = 0.5, id_col: str
 
 def keep_clean(df: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of df below the limit, with all their columns as they are."""
+    bounded_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text_col)
 
