@@ -138,7 +138,7 @@ def fit(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, penalty: float =
     return Model(known[used], w[used], cuts)
 
 
-def train(df: DataFrame, labels: DataFrame, train_rows: int = 12_000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(df: DataFrame, labels: DataFrame, train_rows: int = 8_000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Only the sampled rows' ids are broadcast, and only their words come to the driver."""
     bounded_batches(df)
     wanted = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_toxic"))
@@ -162,7 +162,9 @@ def train(df: DataFrame, labels: DataFrame, train_rows: int = 12_000, label_col:
         return NOTHING
     sets, toxic = [sets[i] for i in keep], got["toxic"].to_numpy()[keep]
     rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    return fit(rows, np.concatenate(sets), toxic)
+    words = np.concatenate(sets)
+    del got, sets
+    return fit(rows, words, toxic)
 
 
 def grade_toxicity(df: DataFrame, model: Model, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
