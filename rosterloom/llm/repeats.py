@@ -4,10 +4,11 @@ The unit is a line, cut further where a sentence ends, so that a passage set
 into the middle of a line is found as well. A unit is normalised to its
 lower-cased words (letters and digits) and digested to 128 bits. Digests are
 grouped over all documents: the occurrence with the least (id, start) stays, the
-others are repeats. Neighbouring repeats of a document form a passage; passages
-of at least ``min_words`` words are removed, with their offsets in the original
-text. Units of fewer than ``unit_words`` words are not compared; they go with a
-passage that encloses them.
+others are repeats. A line that repeats as a whole is removed whatever its
+length. Sentences within a line are removed in passages: neighbouring repeats of
+a document, of at least ``min_words`` words together. Sentences of fewer than
+``unit_words`` words are not compared; they go with a passage or line that
+encloses them. Offsets are those in the original text.
 
 Digests are counted before the shuffle, and only those that occur more than once
 are joined back, so a line that fills a third of all documents is one row of the
@@ -41,15 +42,18 @@ _SEEDS = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))
 
 def unit_table(chunk: Chunk, unit_words: int) -> dict[str, np.ndarray]:
     """The compared units of a chunk: row, seq (their number in the row), start,
-    end (code points), words, and two digest halves."""
+    end (code points), words, whole (1 for a whole line), and two digest halves.
+    Lines of several units, and those too short for a unit, come after the units
+    and have seq -1."""
     data = LOWER[chunk.data]
     starts, ends, rows = chunk.runs(_WORD[data])
     if not len(starts):
-        return {k: np.empty(0, dtype=np.int64) for k in ("row", "seq", "start", "end", "words", "d1", "d2")}
+        return {k: np.empty(0, dtype=np.int64) for k in ("row", "seq", "start", "end", "words", "whole", "d1", "d2")}
     stop = _STOP[data]
-    breaks = data == 0x0A
+    line_ends = data == 0x0A
+    line_ends[chunk.offsets[1:][chunk.offsets[1:] > 0] - 1] = True
+    breaks = line_ends.copy()
     breaks[:-1] |= stop[:-1] & SPACE[data[1:]]
-    breaks[chunk.offsets[1:][chunk.offsets[1:] > 0] - 1] = True
     cuts = np.flatnonzero(breaks)
     unit = np.searchsorted(cuts, starts)
     first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
@@ -61,54 +65,83 @@ def unit_table(chunk: Chunk, unit_words: int) -> dict[str, np.ndarray]:
         for seed in _SEEDS:
             running = np.concatenate([[U64(0)], np.cumsum(mix((h ^ seed) + place * U64(0xA0761D6478BD642F)))])
             digests.append(mix(running[first + count] - running[first] + count.astype(U64) * seed).view(np.int64))
+    # a line of several units is digested from theirs, so its units repeat where it does
+    line = np.searchsorted(np.flatnonzero(line_ends), starts[first])
+    head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    size = np.diff(np.append(head, len(line)))
+    many = size > 1
+    place = (np.arange(len(line)) - np.repeat(head, size)).astype(U64)
+    line_digests = []
+    with np.errstate(over="ignore"):
+        for d, seed in zip(digests, _SEEDS, strict=True):
+            running = np.concatenate([[U64(0)], np.cumsum(mix((d.view(U64) ^ seed) + place * U64(0xE7037ED1A0B428DB)))])
+            whole = mix(running[head + size] - running[head] + size.astype(U64) * seed).view(np.int64)
+            line_digests.append(np.where(many, whole, d[head]))
     keep = count >= unit_words
-    first, count = first[keep], count[keep]
+    lines = many | ~keep[head]
+    at = np.concatenate([np.flatnonzero(keep), head[lines]])
+    to = np.concatenate([np.flatnonzero(keep), (head + size - 1)[lines]])
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    row = rows[first]
+    row = rows[first[at]]
     base = points[chunk.offsets[row]]
-    last = cuts[unit[first]]
-    last = np.where(stop[last], last + 1, ends[first + count - 1])
-    new_row = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, dtype=np.int64)
-    seq = np.arange(len(row)) - np.repeat(new_row, np.diff(np.append(new_row, len(row))))
-    return {"row": row, "seq": seq, "start": points[starts[first]] - base, "end": points[last] - base, "words": count, "d1": digests[0][keep], "d2": digests[1][keep]}
+    last = cuts[unit[first[to]]]
+    last = np.where(stop[last], last + 1, ends[first[to] + count[to] - 1])
+    seq = np.full(len(at), -1, dtype=np.int64)
+    n = int(keep.sum())
+    new_row = np.flatnonzero(np.concatenate([[True], row[1:n] != row[: n - 1]])) if n else np.empty(0, dtype=np.int64)
+    seq[:n] = np.arange(n) - np.repeat(new_row, np.diff(np.append(new_row, n)))
+    whole = np.ones(len(at), dtype=np.int64)
+    whole[:n] = np.repeat(size == 1, size)[keep]
+    d1, d2 = (np.concatenate([d[keep], e[lines]]) for d, e in zip(digests, line_digests, strict=True))
+    return {"row": row, "seq": seq, "start": points[starts[first[at]]] - base, "end": points[last] - base, "words": first[to] + count[to] - first[at], "whole": whole, "d1": d1, "d2": d2}
 
 
 def units(df: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per compared unit: id, seq, start, end, words, d1, d2."""
+    """One row per compared unit: id, seq, start, end, words, whole, d1, d2."""
     bounded_batches(df)
-    names = ("seq", "start", "end", "words", "d1", "d2")
+    names = ("seq", "start", "end", "words", "whole", "d1", "d2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 found = unit_table(chunk, unit_words)
                 keys = batch.column(0).slice(chunk.first, chunk.n).take(pa.array(found["row"]))
-                columns = [pa.array(found[n].astype(np.int32 if n in names[:4] else np.int64)) for n in names]
+                columns = [pa.array(found[n].astype(np.int32 if n in names[:5] else np.int64)) for n in names]
                 yield pa.RecordBatch.from_arrays([keys, *columns], names=["id", *names])
 
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(n, T.IntegerType() if n in names[:4] else T.LongType()) for n in names)])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(n, T.IntegerType() if n in names[:5] else T.LongType()) for n in names)])
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def find_repeats(df: DataFrame, min_words: int = 25, unit_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage to remove: id_col, start, end, n_words, n_units,
-    first_doc and first_start (where its first unit stays)."""
+    """One row per passage or line to remove: id_col, start, end, n_words and
+    n_units (compared in the passage; a line alone is one unit), first_doc and
+    first_start (where its first unit stays). Rows do not overlap."""
     every = units(df, unit_words, id_col, text_col)
     digests = every.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n"))
     again = digests.where(F.col("n") > 1).select("d1", "d2", "first")
     repeated = every.join(again, ["d1", "d2"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
-    repeated = repeated.groupBy("id", "seq", "start").agg(F.max("end").alias("end"), F.max("words").alias("words"), F.min("first").alias("first"))
+    repeated = repeated.groupBy("id", "seq", "start").agg(F.max("end").alias("end"), F.max("words").alias("words"), F.max("whole").alias("whole"), F.min("first").alias("first"))
     # neighbours have consecutive numbers
-    order = Window.partitionBy("id").orderBy("seq", "start")
-    islands = repeated.withColumn("island", F.col("seq") - F.row_number().over(order))
-    passages = islands.groupBy("id", "island").agg(
+    line = (F.col("seq") < 0).alias("line")
+    order = Window.partitionBy("id", "line").orderBy("seq", "start")
+    islands = repeated.select("*", line).withColumn("island", F.col("seq") - F.row_number().over(order))
+    island = Window.partitionBy("id", "line", "island")
+    long = ~F.col("line") & (F.sum("words").over(island) >= min_words)
+    cut = islands.withColumn("long", long).withColumn("reach", F.when(F.col("long"), F.max("end").over(island)).otherwise(F.col("end"))).where(F.col("long") | (F.col("whole") == 1))
+    # lines within or across a passage are one with it
+    along = Window.partitionBy("id").orderBy("start", "seq")
+    apart = F.coalesce(F.col("start") >= F.max("reach").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    cut = cut.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    of_long = F.when(F.col("long"), F.col("words"))
+    passages = cut.groupBy("id", "passage").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.sum("words").alias("n_words"),
-        F.count("*").alias("n_units"),
-        F.min_by("first", "start").alias("first"),
+        F.coalesce(F.sum(of_long), F.sum("words")).alias("n_words"),
+        F.greatest(F.count(of_long), F.lit(1)).alias("n_units"),
+        F.min_by("first", F.struct("start", "seq")).alias("first"),
     )
-    return passages.where(F.col("n_words") >= min_words).select(
+    return passages.select(
         F.col("id").alias(id_col),
         F.col("start").cast("long").alias("start"),
         F.col("end").cast("long").alias("end"),

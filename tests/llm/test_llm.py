@@ -309,6 +309,23 @@ def test_repeats(spark):
     assert repeats.find_repeats(docs.where("doc_id = 1").union(docs.where("doc_id = 1"))).count() == 0
 
 
+def test_repeated_lines_of_any_length(spark):
+    rng = random.Random(18)
+    line, pair, word = "All rights reserved by the makers", "Read on. See the terms of use below!", "Menu"
+    texts = [f"{prose(rng, 30)}\n{line.upper()}!\n{prose(rng, 20)}\n{pair}\n{word}\n{prose(rng, 9)}" for _ in range(5)]
+    texts += [f"{prose(rng, 9)} {line} {prose(rng, 9)}", f"{prose(rng, 5)}. See the terms of use below! {prose(rng, 5)}", f"{word}\n{word}"]
+    docs = frame(spark, texts)
+    found = repeats.find_repeats(docs).collect()
+    assert sorted((r.doc_id, r.n_words) for r in found) == sorted([(i, n) for i in range(1, 5) for n in (6, 8, 1)] + [(7, 1), (7, 1)])
+    assert {(r.first_doc, texts[0][r.first_start :][:4]) for r in found} == {(0, "ALL "), (0, "Read"), (0, "Menu")}
+    out = {r.doc_id: r.text for r in repeats.drop_repeats(docs, Scratch(spark)).collect()}
+    assert (out[0], out[5], out[6]) == (texts[0], texts[5], texts[6])
+    for i in range(1, 5):
+        a, _, b, _, _, c = texts[i].split("\n")
+        assert [x for x in out[i].split("\n") if len(x) > 1] == [a, b, c]
+    assert out[7] == "\n"
+
+
 def brute_jaccard(texts, n, num, den):
     sets = []
     for t in texts:
