@@ -6,10 +6,11 @@ over every document of the raw corpus; both are smoothed. A document's score is
 its log-likelihood ratio, target over raw, divided by its number of n-grams.
 Every document is held against one threshold, so equal texts get equal verdicts.
 
-The trusted rows are a bounded sample (``target_rows``, those with the smallest
-hash of their id); raw counts take in all documents. Half of the trusted rows
-count into the target. The threshold is the ``quantile`` of the scores of the
-other half less a ``margin``: those are as new to the target as any document.
+The trusted rows are all labelled good ones; raw counts take in all documents.
+Half of the trusted rows, by the hash of their id, count into the target. The
+threshold is the ``quantile`` of the scores of all others, to the next ``STEP``
+below, less a ``margin``: those are as new to the target as any document. Scores
+are counted by step, so what the driver reads does not grow with the rows.
 
 Words are runs of bytes other than space and \\t \\n \\v \\f \\r. Null texts have
 no words. A text without words scores 0 and fails the base rule. Without labels,
@@ -33,6 +34,9 @@ from rosterloom.llm.textbuf import U64, Chunk, bounded_batches, chunks, mix, per
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
 
+#: Scores are counted in steps of this width for the threshold.
+STEP = 1e-4
+
 
 def _joined(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each n words in a row, and where they begin."""
@@ -111,12 +115,20 @@ def _array(counts: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def trusted_rows(df: DataFrame, labels: DataFrame, good_col: str, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """The texts of at most ``rows`` labelled good rows, by the smallest hash of
-    their id; only that many ids are broadcast."""
-    ids = labels.where(F.col(good_col) == 1).select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    return df.join(F.broadcast(ids), id_col, "left_semi")
+def trusted_rows(df: DataFrame, labels: DataFrame, good_col: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows of df whose id is labelled good; both sides are dealt by id,
+    since the good ids grow with the input."""
+    ids = labels.where(F.col(good_col) == 1).select(id_col).where(F.col(id_col).isNotNull())
+    return df.join(ids.hint("merge"), id_col, "left_semi")
+
+
+def step_quantile(scored: DataFrame, quantile: float) -> float | None:
+    """The lower end of the step that holds the quantile of llr; None without rows."""
+    counts = scored.groupBy(F.floor(F.col("llr") / STEP).alias("step")).agg(F.count("*").alias("n")).toPandas().sort_values("step")
+    if not len(counts):
+        return None
+    upto = np.cumsum(counts["n"].to_numpy())
+    return float(counts["step"].iloc[int(np.searchsorted(upto, max(quantile * upto[-1], 1)))] * STEP)
 
 
 def weights(raw: np.ndarray, target: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
@@ -137,7 +149,6 @@ def score_quality(
     labels: DataFrame,
     good_col: str = "quality",
     bits: int = 16,
-    target_rows: int = 10_000,
     quantile: float = 0.001,
     margin: float = 0.05,
     id_col: str = "doc_id",
@@ -147,7 +158,7 @@ def score_quality(
     n_dup_lines, n_repeat_words, base_failed, llr, threshold, kept."""
     spark = df.sparkSession
     raw = _array(ngram_counts(df, bits, text_col), bits)
-    trusted = trusted_rows(df, labels, good_col, target_rows, id_col)
+    trusted = trusted_rows(df, labels, good_col, id_col)
     held_out = F.pmod(F.xxhash64(id_col), F.lit(2)) == 1
     target = _array(ngram_counts(trusted.where(~held_out), bits, text_col), bits)
     table = weights(raw, target) if target.any() else np.zeros(1 << bits)
@@ -160,8 +171,8 @@ def score_quality(
                 fine = ~_fails(base)
                 yield pa.RecordBatch.from_arrays([pa.array(scores(chunk, shared.value, bits)[fine])], names=["llr"])
 
-    own = trusted.where(held_out).select(text_col).mapInArrow(own_scores, "llr double").toPandas()["llr"].to_numpy()
-    threshold = float(np.quantile(own, quantile) - margin) if len(own) else float("-inf")
+    own = step_quantile(trusted.where(held_out).select(text_col).mapInArrow(own_scores, "llr double"), quantile)
+    threshold = own - margin if own is not None else float("-inf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -209,6 +209,23 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_counts_all_labelled_rows(spark):
+    word = F.concat(F.lit("w"), (F.col("doc_id") * 7919 % 613).cast("string"), F.lit(" v"), (F.col("doc_id") % 89).cast("string"), F.lit(" "))
+    docs = spark.range(12_500).withColumnRenamed("id", "doc_id").withColumn("text", F.repeat(word, 13)).withColumn("text", F.concat("text", F.repeat(F.lit("x y z "), 10)))
+    docs = docs.withColumn("text", F.concat("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("u"), ((F.col("doc_id") + i * i) % 997).cast("string"))), " ")))
+    labels = docs.select("doc_id", (F.col("doc_id") < 12_000).cast("int").alias("quality"))
+    odd = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    good = docs.where("doc_id < 12000")
+    table = quality.weights(*(quality._array(quality.ngram_counts(d, 16), 16) for d in (docs, good.where(~odd))))
+    rows = quality.score_quality(docs, labels).orderBy("doc_id").toPandas()
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    want = np.concatenate([quality.scores(c, table, 16) for c in chunks(pa.array(texts))])
+    assert np.allclose(rows["llr"], want, atol=1e-12)
+    held = good.select(odd.alias("held")).toPandas()["held"].to_numpy()
+    own = want[:12_000][held & ~rows["base_failed"][:12_000].to_numpy()]
+    assert len(own) > 5_000 and 0 <= np.quantile(own, 0.001, method="inverted_cdf") - 0.05 - rows["threshold"][0] <= quality.STEP
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
