@@ -8,8 +8,8 @@ context of an entity kind c,
 
 with counts over all documents. PMI(t; c) = IC(c) would mean that t never occurs
 without c. Terms whose share PMI / IC reaches ``generalise`` are replaced by a
-class mark where they stand in a context of c, those that reach ``remove`` are
-removed. A term must have been seen in the contexts of ``support`` documents.
+class mark, those that reach ``remove`` are removed, wherever they stand in the
+corpus. A term must have been seen in the contexts of ``support`` documents.
 
 The expressions are possessive forms of the plain ones: repeated groups need no
 stack in Java's matcher, and an email's or address's first run is only tried
@@ -122,10 +122,9 @@ def disclosing_terms(
     remove: float = 0.95,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> tuple[DataFrame, DataFrame]:
-    """Two tables. Entities: id, key (of the text), n_terms, spans, one row per
-    row of df. Terms: id, key, terms array<(start, end, removed)>, one row per
-    text with terms to hide."""
+) -> DataFrame:
+    """id, key (of the text), hits map<term, removed>: one row per text that holds
+    terms to hide, anywhere in it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = df.select(F.col(id_col).alias("id"), text.alias("text"))
     entities = read.withColumn("spans", base_spans(F.col("text"))).select(
@@ -155,24 +154,57 @@ def disclosing_terms(
         .join(everywhere, "term")
         .select("term", "no", (pmi / F.greatest(ic, F.lit(1e-9))).alias("share"))
         .where(F.col("share") >= generalise)
-        .select("term", "no", (F.col("share") >= remove).alias("removed"))
+        .groupBy("term")
+        .agg((F.max("share") >= remove).alias("removed"))
     )
-    hidden = context.join(shown, ["term", "no"]).groupBy("id", "key", "start", "end").agg(F.max("removed").alias("removed"))
-    hidden = hidden.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-    return entities.drop("context"), hidden
+    shown = scratch.keep(shown)
+    # the terms are few: their size decides whether they are broadcast
+    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("found")
+    held = read.select("id", _key(F.col("text")).alias("key"), found).select("id", "key", F.lower("found").alias("term")).join(shown, "term").distinct()
+    return held.groupBy("id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("hits"))
+
+
+def _term_spans(text: Column, hits: Column, spans: Column) -> Column:
+    """All occurrences of the terms of hits apart from the entities: array of (start, end, removed)."""
+    none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
+    pairs = F.zip_with(
+        F.split(text, _TERM, -1),
+        F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)),
+        lambda gap, found: F.struct(F.char_length(gap).alias("gap"), F.char_length(found).alias("size"), F.try_element_at(hits, F.lower(found)).alias("removed")),
+    )
+    whole = F.filter(pairs, lambda p: p["size"].isNotNull())
+
+    def step(done: Column, p: Column) -> Column:
+        start = done["at"] + p["gap"]
+        end = start + p["size"]
+        one = F.struct(start.alias("start"), end.alias("end"), p["removed"].alias("removed"))
+        return F.struct(end.alias("at"), F.when(p["removed"].isNotNull(), F.array_append(done["spans"], one)).otherwise(done["spans"]).alias("spans"))
+
+    every = F.aggregate(whole, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+    apart = F.filter(every, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return F.when(hits.isNotNull(), apart).otherwise(none)
+
+
+def _with_spans(df: DataFrame, hits: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """df with _pii_spans, the entities, and _pii_terms, the terms to hide."""
+    hits = scratch.keep(hits).select(F.col("id").alias("_pii_id"), F.col("key").alias("_pii_key"), F.col("hits").alias("_pii_hits"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    joined = df.join(hits, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (_key(text) == F.col("_pii_key")), "left")
+    joined = joined.withColumn("_pii_spans", base_spans(text))
+    return joined.withColumn("_pii_terms", _term_spans(text, F.col("_pii_hits"), F.col("_pii_spans")))
 
 
 def find_pii(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """One row per input row: id_col and spans array<struct<kind,start,end>>, the
     entities and the disclosing terms, in order of start, then kind."""
-    entities, hidden = disclosing_terms(df, scratch, id_col=id_col, text_col=text_col, **options)
+    hits = disclosing_terms(df, scratch, id_col=id_col, text_col=text_col, **options)
     term = KINDS.index("term")
-    both = entities.join(scratch.keep(hidden), ["id", "key"], "left")
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), F.lit(term).alias("no"), s["end"].alias("end")))
-    every = F.array_sort(F.concat("spans", F.coalesce(terms, F.array().cast("array<struct<start:int,no:int,end:int>>"))))
+    both = _with_spans(df.select(id_col, text_col), hits, scratch, id_col, text_col)
+    terms = F.transform("_pii_terms", lambda s: F.struct(s["start"].alias("start"), F.lit(term).alias("no"), s["end"].alias("end")))
+    every = F.array_sort(F.concat("_pii_spans", terms))
     names = F.array(*map(F.lit, KINDS))
     named = F.transform(every, lambda s: F.struct(F.get(names, s["no"]).alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
-    return both.select(F.col("id").alias(id_col), named.alias("spans"))
+    return both.select(id_col, named.alias("spans"))
 
 
 def rewrite(text: Column, spans: Column, terms: Column) -> Column:
@@ -193,11 +225,8 @@ def rewrite(text: Column, spans: Column, terms: Column) -> Column:
 
 def sanitise(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """df with the text rewritten; all other columns as they are. Null stays null."""
-    _, hidden = disclosing_terms(df, scratch, id_col=id_col, text_col=text_col, **options)
-    hidden = scratch.keep(hidden).select(F.col("id").alias("_pii_id"), F.col("key").alias("_pii_key"), F.col("terms").alias("_pii_terms"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = df.join(hidden, (F.col(id_col) == F.col("_pii_id")) & (_key(text) == F.col("_pii_key")), "left")
-    joined = joined.withColumn("_pii_spans", base_spans(text))
-    none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    new = rewrite(F.col(text_col), F.col("_pii_spans"), F.coalesce("_pii_terms", none))
-    return joined.withColumn(text_col, F.when(F.size("_pii_spans") > 0, new).otherwise(F.col(text_col))).select(*df.columns)
+    hits = disclosing_terms(df, scratch, id_col=id_col, text_col=text_col, **options)
+    joined = _with_spans(df, hits, scratch, id_col, text_col)
+    new = rewrite(F.col(text_col), F.col("_pii_spans"), F.col("_pii_terms"))
+    changed = (F.size("_pii_spans") > 0) | (F.size("_pii_terms") > 0)
+    return joined.withColumn(text_col, F.when(changed, new).otherwise(F.col(text_col))).select(*df.columns)
