@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from rosterloom.llm.textbuf import LOWER, U64, Chunk, ragged, slice_hashes
+from rosterloom.llm.textbuf import LOWER, U64, Chunk, block_at, blocks_of, mix, ragged
 
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
 _CLASS = np.full(256, _OTHER, dtype=np.uint8)
@@ -135,47 +135,71 @@ def words_spaced(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Lexicon:
     """Ids of pre-tokens seen before, in a direct-mapped table of bounded size.
 
-    A slot holds the 64-bit hash of a pre-token and where its ids lie in a
-    pool; a miss is encoded anew and takes the slot. Two pre-tokens are told
-    apart by their hash, which takes in their length.
+    A slot holds a pre-token and where its ids lie in a pool; a miss is encoded
+    anew and takes the slot. A hash only chooses the slot: the pre-token itself
+    is compared, its first 16 bytes as two numbers and the rest byte by byte.
+    Pre-tokens of more than ``LONGEST`` bytes are not stored.
     """
 
+    LONGEST = 256
+
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], slots: int = 1 << 21, pool: int = 1 << 23) -> None:
         self._encode, self._mask, self._limit = encode, U64(slots - 1), pool
         self._reset(slots)
 
     def _reset(self, slots: int) -> None:
-        self._keys = np.zeros(slots, dtype=U64)
-        self._at = np.zeros(slots, dtype=np.int32)
-        self._len = np.zeros(slots, dtype=np.int32)
-        self._pool = np.zeros(1 << 16, dtype=np.int32)
-        self._used = 0
+        self._one, self._two = np.zeros(slots, dtype=U64), np.zeros(slots, dtype=U64)
+        self._size, self._from, self._at, self._len = (np.zeros(slots, dtype=np.int32) for _ in range(4))
+        self._ids, self._bytes = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.uint8)
+        self._used = self._held = 0
+
+    @staticmethod
+    def _grown(pool: np.ndarray, used: int, more: int) -> np.ndarray:
+        return pool if used + more <= len(pool) else np.concatenate([pool[:used], np.zeros(max(more, len(pool)), dtype=pool.dtype)])
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slices, one after another, and how many each has."""
-        if self._used > self._limit:
-            self._reset(len(self._keys))
-        h = slice_hashes(data, starts, ends)
-        h[h == 0] = 1
-        slot = (h & self._mask).astype(np.int64)
-        at, size = self._at[slot].astype(np.int64), self._len[slot].astype(np.int64)
-        missed = np.flatnonzero(self._keys[slot] != h)
+        if self._used > self._limit or self._held > 4 * self._limit:
+            self._reset(len(self._one))
+        sizes = ends - starts
+        blocks = blocks_of(data)
+        one, two = block_at(blocks, starts, sizes), block_at(blocks, starts + 8, sizes - 8)
+        with np.errstate(over="ignore"):
+            slot = (mix(mix(one) + two * U64(0x9E3779B97F4A7C15) + sizes.astype(U64)) & self._mask).astype(np.int64)
+        same = (self._one[slot] == one) & (self._two[slot] == two) & (self._size[slot] == sizes)
+        longer = np.flatnonzero(same & (sizes > 16))
+        if len(longer):
+            rest = sizes[longer] - 16
+            equal = data[ragged(starts[longer] + 16, rest)] == self._bytes[ragged(self._from[slot[longer]].astype(np.int64), rest)]
+            same[longer] = np.logical_and.reduceat(equal, np.cumsum(rest) - rest)
+        at, count = self._at[slot].astype(np.int64), self._len[slot].astype(np.int64)
+        missed = np.flatnonzero(~same)
         if len(missed):
-            _, first, back = np.unique(h[missed], return_index=True, return_inverse=True)
-            new = missed[first]
             raw = data.tobytes()
-            found = self._encode([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(sizes.sum()))
-            if self._used + len(flat) > len(self._pool):
-                self._pool = np.concatenate([self._pool[: self._used], np.zeros(max(len(flat), len(self._pool)), dtype=np.int32)])
-            self._pool[self._used : self._used + len(flat)] = flat
-            places = self._used + np.cumsum(sizes) - sizes
+            numbers: dict[bytes, int] = {}
+            back = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)])
+            new = missed[np.unique(back, return_index=True)[1]]
+            found = self._encode(list(numbers))
+            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(lengths.sum()))
+            self._ids = self._grown(self._ids, self._used, len(flat))
+            self._ids[self._used : self._used + len(flat)] = flat
+            places = self._used + np.cumsum(lengths) - lengths
             self._used += len(flat)
-            where = slot[new]
-            self._keys[where], self._at[where], self._len[where] = h[new], places, sizes
-            at[missed], size[missed] = places[back], sizes[back]
-        return self._pool[ragged(at, size)], size
+            at[missed], count[missed] = places[back], lengths[back]
+            # of several for one slot the first takes it
+            short = np.flatnonzero(sizes[new] <= self.LONGEST)
+            short = short[np.unique(slot[new[short]], return_index=True)[1]]
+            kept = new[short]
+            tails = np.maximum(sizes[kept] - 16, 0)
+            self._bytes = self._grown(self._bytes, self._held, int(tails.sum()))
+            self._bytes[self._held : self._held + int(tails.sum())] = data[ragged(starts[kept] + 16, tails)]
+            where = slot[kept]
+            self._one[where], self._two[where], self._size[where] = one[kept], two[kept], sizes[kept]
+            self._from[where] = self._held + np.cumsum(tails) - tails
+            self._at[where], self._len[where] = places[short], lengths[short]
+            self._held += int(tails.sum())
+        return self._ids[ragged(at, count)], count
 
 
 def chunk_ids(chunk: Chunk, spaced: bool, lexicon: Lexicon, whole: Callable[[bytes], list[int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -3,14 +3,15 @@
 A batch of texts becomes one byte buffer with offsets, cut into chunks of a
 few MB so that the 8-byte columns derived from it stay small; a single longer
 text is a chunk of its own and is always processed whole. Words and lines are
-found with boundary masks and hashed with one running polynomial over the
-buffer: with P odd, P has an inverse modulo 2**64, so the hash of any slice is
-a difference of two prefix values times a power of the inverse.
+found with boundary masks. Slices are hashed in blocks of eight bytes by two
+mixers that run side by side, and long slices by BLAKE2, so no family of texts
+with a regular build collides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: Slices of more bytes are hashed by BLAKE2, one by one.
+LONG_SLICE = 128
+#: Keeps the first k of eight bytes.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 #: The white space of the contracts: space and \t \n \v \f \r.
 SPACE = np.zeros(256, dtype=bool)
@@ -41,21 +43,6 @@ def bounded_batches(df: DataFrame) -> None:
         conf.set(key, str(BATCH_BYTES))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    key = str(base)
-    have = _POWERS.get(key)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        table = np.full(size, base, dtype=U64)
-        table[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(table, out=table)
-        if size <= 4 * CHUNK_BYTES:
-            _POWERS[key] = table
-        return table
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: every output bit depends on every input bit."""
     with np.errstate(over="ignore"):
@@ -64,15 +51,45 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(31))
 
 
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a little-endian number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def block_at(blocks: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first eight bytes of slices, zeros where a slice is shorter."""
+    inside = np.minimum(starts, len(blocks) - 1)
+    return blocks[inside] & _MASKS[np.clip(sizes, 0, 8)]
+
+
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[starts[i]:ends[i]], equal for equal slices."""
-    n = len(data)
+    sizes = ends - starts
+    out = np.empty(len(starts), dtype=U64)
+    long = np.flatnonzero(sizes > LONG_SLICE)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        found = [blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(found), dtype="<u8")
+    live = np.flatnonzero(sizes <= LONG_SLICE)
+    blocks = blocks_of(data)
     with np.errstate(over="ignore"):
-        prefix = np.empty(n + 1, dtype=U64)
-        prefix[0] = 0
-        np.cumsum((data.astype(U64) + U64(1)) * _powers(_P, n + 1)[:n], out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * _powers(_PINV, n + 1)[starts]
-        return mix(h + (ends - starts).astype(U64) * U64(0xD1B54A32D192ED03))
+        at, left = starts[live], sizes[live]
+        one = mix(block_at(blocks, at, left) ^ (left.astype(U64) * U64(0xD1B54A32D192ED03)))
+        two = left.astype(U64) * U64(0xA0761D6478BD642F)
+        while True:
+            # whatever a block does to the first mixer, it does something unrelated to the second
+            more = left > 8
+            out[live[~more]] = mix(one[~more] + two[~more] * U64(0xE7037ED1A0B428DB))
+            if not more.any():
+                return out
+            before = one[more]
+            live, at, left, two = live[more], at[more] + 8, left[more] - 8, two[more]
+            block = block_at(blocks, at, left)
+            one = mix(before ^ block)
+            two = mix((two + block) * U64(0x8EBC6AF09C88C6E3) + (before >> U64(32)))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
