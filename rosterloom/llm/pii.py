@@ -13,11 +13,13 @@ corpus. A term must have been seen in the contexts of ``support`` documents.
 
 The expressions are possessive forms of the plain ones: repeated groups need no
 stack in Java's matcher, and an email's or address's first run is only tried
-where it begins or where the last match ended, so texts of any length take
-linear time. Spans are in code points, end exclusive.
+where it begins or where the last match ended. Matches are placed and texts
+rewritten as in ``spans``, so a text of n signs and m matches takes time in the
+order of n + m log m. Spans are in code points, end exclusive.
 
-Null and empty texts have no spans. Equal rows give equal results. Extra columns
-are not read; sanitise passes them through.
+Null and empty texts have no spans; an empty table gives an empty one. Equal rows
+give equal results, and rows of equal or null id are told apart by their text.
+Extra columns are not read, whatever their names; sanitise passes them through.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.scratch import Scratch
+from rosterloom.llm.spans import apart, blocks, let, matches, piece, replaced
 
 #: Kinds in their order within equal starts.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -39,24 +42,6 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _TERM = r"\p{L}{2,}+"
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """All matches from left to right: array of (start, end, found)."""
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    pairs = F.zip_with(
-        F.split(text, pattern, -1),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, found: F.struct(F.char_length(gap).alias("gap"), F.char_length(found).alias("size"), found.alias("found")),
-    )
-    whole = F.filter(pairs, lambda p: p["found"].isNotNull())  # the last gap has no match after it
-
-    def step(done: Column, p: Column) -> Column:
-        start = done["at"] + p["gap"]
-        end = start + p["size"]
-        return F.struct(end.alias("at"), F.array_append(done["spans"], F.struct(start.alias("start"), end.alias("end"), p["found"].alias("found"))).alias("spans"))
-
-    return F.aggregate(whole, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda done: done["spans"])
-
-
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -83,7 +68,7 @@ def _of_kind(text: Column, kind: str) -> Column:
         "phone": lambda s: F.char_length(_digits(s["found"])).between(9, 15),
     }[kind]
     may = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": text.contains("+")}[kind]
-    found = F.transform(F.filter(_spans(text, pattern), passes), lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["end"].alias("end")))
+    found = F.transform(F.filter(matches(text, pattern), passes), lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["end"].alias("end")))
     return F.when(may, found).otherwise(F.array().cast("array<struct<start:int,no:int,end:int>>"))
 
 
@@ -92,11 +77,11 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_of_kind(text, k) for k in BASE)))
 
 
-def _context(text: Column, span: Column, words: int, reach: int) -> Column:
-    """The terms next to an entity: array of (no, term, start, end)."""
+def _context(cut: Column, span: Column, words: int, reach: int) -> Column:
+    """The terms next to an entity of a text cut in blocks: array of (no, term, start, end)."""
     left = F.greatest(span["start"] - reach, F.lit(0))
-    before = _spans(F.substring(text, left + 1, span["start"] - left), _TERM)
-    after = _spans(F.substring(text, span["end"] + 1, F.lit(reach)), _TERM)
+    before = matches(piece(cut, left, span["start"] - left), _TERM)
+    after = matches(piece(cut, span["end"], F.lit(reach)), _TERM)
     # a run cut by the reach is no whole term
     before = F.filter(before, lambda s: (s["start"] > 0) | (left == 0))
     after = F.filter(after, lambda s: s["end"] < reach)
@@ -104,10 +89,20 @@ def _context(text: Column, span: Column, words: int, reach: int) -> Column:
     def placed(spans: Column, shift: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(span["no"].alias("no"), F.lower(s["found"]).alias("term"), (shift + s["start"]).alias("start"), (shift + s["end"]).alias("end")))
 
-    near = F.when(F.size(before) > words, F.slice(before, -words, words)).otherwise(before)
+    near = let(before, lambda x: F.when(F.size(x) > words, F.slice(x, -words, words)).otherwise(x))
     return F.concat(placed(near, left), placed(F.slice(after, 1, words), span["end"]))
 
 
+def contexts(text: Column, spans: Column, words: int, reach: int) -> Column:
+    """The terms next to all entities, those apart from every entity."""
+
+    def found(cut: Column) -> Column:
+        return F.flatten(F.transform(spans, lambda s: _context(cut, s, words, reach)))
+
+    every = F.transform(let(blocks(text), found), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["no"].alias("no"), c["term"].alias("term")))
+    return let(every, lambda some: apart(some, spans))
+
+
 def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
@@ -126,22 +121,19 @@ def disclosing_terms(
     """id, key (of the text), hits map<term, removed>: one row per text that holds
     terms to hide, anywhere in it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    none = "array<struct<start:int,end:int,no:int,term:string>>"
     read = df.select(F.col(id_col).alias("id"), text.alias("text"))
     entities = read.withColumn("spans", base_spans(F.col("text"))).select(
         "id",
         _key(F.col("text")).alias("key"),
         F.regexp_count("text", F.lit(_TERM)).cast("long").alias("n_terms"),
         "spans",
-        F.when(F.size("spans") > 0, F.flatten(F.transform("spans", lambda s: _context(F.col("text"), s, words, reach))))
-        .otherwise(F.array().cast("array<struct<no:int,term:string,start:int,end:int>>"))
-        .alias("context"),
+        F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"), words, reach)).otherwise(F.array().cast(none)).alias("context"),
     )
     entities = scratch.keep(entities)
     total = entities.agg(F.coalesce(F.sum("n_terms"), F.lit(0))).first()[0]
 
-    context = entities.where(F.size("context") > 0).select("id", "key", "spans", F.explode("context").alias("c")).select("id", "key", "spans", "c.*")
-    apart = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    context = scratch.keep(context.where(apart).drop("spans"))
+    context = scratch.keep(entities.select("id", "key", F.explode("context").alias("c")).select("id", "key", "c.no", "c.term"))
     by_doc = context.groupBy("term", "no", "id").agg(F.count("*").alias("n"))
     together = by_doc.groupBy("term", "no").agg(F.sum("n").alias("n_tc"), F.count("*").alias("docs"))
     kinds = context.groupBy("no").agg(F.count("*").alias("n_c"))  # a row for each kind
@@ -167,22 +159,9 @@ def disclosing_terms(
 def _term_spans(text: Column, hits: Column, spans: Column) -> Column:
     """All occurrences of the terms of hits apart from the entities: array of (start, end, removed)."""
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    pairs = F.zip_with(
-        F.split(text, _TERM, -1),
-        F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)),
-        lambda gap, found: F.struct(F.char_length(gap).alias("gap"), F.char_length(found).alias("size"), F.try_element_at(hits, F.lower(found)).alias("removed")),
-    )
-    whole = F.filter(pairs, lambda p: p["size"].isNotNull())
-
-    def step(done: Column, p: Column) -> Column:
-        start = done["at"] + p["gap"]
-        end = start + p["size"]
-        one = F.struct(start.alias("start"), end.alias("end"), p["removed"].alias("removed"))
-        return F.struct(end.alias("at"), F.when(p["removed"].isNotNull(), F.array_append(done["spans"], one)).otherwise(done["spans"]).alias("spans"))
-
-    every = F.aggregate(whole, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
-    apart = F.filter(every, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return F.when(hits.isNotNull(), apart).otherwise(none)
+    every = F.transform(matches(text, _TERM), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.try_element_at(hits, F.lower(s["found"])).alias("removed")))
+    hidden = F.filter(every, lambda s: s["removed"].isNotNull())
+    return F.when(hits.isNotNull(), let(hidden, lambda some: apart(some, spans))).otherwise(none)
 
 
 def _with_spans(df: DataFrame, hits: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
@@ -212,15 +191,7 @@ def rewrite(text: Column, spans: Column, terms: Column) -> Column:
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     entity = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(marks, s["no"]).alias("mark")))
     term = F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("mark")))
-    ordered = F.array_sort(F.concat(entity, term))
-
-    def step(done: Column, s: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        mark = F.when(s["start"] >= done["at"], s["mark"]).otherwise(F.lit(""))  # overlaps go with the first
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.array_append(done["parts"], F.concat(before, mark)).alias("parts"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    return F.aggregate(ordered, start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.char_length(text))))
+    return replaced(text, F.array_sort(F.concat(entity, term)))
 
 
 def sanitise(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
