@@ -85,7 +85,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that repeats an earlier one."""
-    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+    return repeats.find_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

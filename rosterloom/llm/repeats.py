@@ -6,17 +6,21 @@ lower-cased words (letters and digits) and digested to 128 bits. Digests are
 grouped over all documents: the occurrence with the least (id, start) stays, the
 others are repeats. A line that repeats as a whole is removed whatever its
 length. Sentences within a line are removed in passages: neighbouring repeats of
-a document, of at least ``min_words`` words together. Sentences of fewer than
-``unit_words`` words are not compared; they go with a passage or line that
-encloses them. Offsets are those in the original text.
-
-Digests are counted before the shuffle, and only those that occur more than once
-are joined back, so a line that fills a third of all documents is one row of the
-smaller side.
-
-Null and empty texts have no units. Rows with one id count as one document, so
-an equal row repeats nothing. Extra columns are not read; drop_repeats passes
-them through.
+a document, of at least ``min_words`` words together; by default every one.
+Sentences of fewer than ``unit_words`` words are not compared; they go with a
+passage or line that encloses them. Offsets are those in the original text.
+
+Texts are cut into units once; the units are a table on shared disk. Digests are
+counted with early sums, and those that occur more than once are a table as well,
+so Spark knows its size: it is broadcast while it is small, and otherwise both
+sides of the join are plain exchanges, of which Spark splits those that one
+digest (a line in a third of all documents) makes large.
+
+Null and empty texts have no units; an empty table gives an empty one. Rows with
+one id count as one document, so an equal row repeats nothing; rows without an id
+are told apart by their text and come last. A text is cut whole, however long.
+Extra columns are not read, whatever their names; drop_repeats passes them
+through.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterloom.llm.scratch import Scratch
+from rosterloom.llm.spans import replaced
 from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, bounded_batches, chunks, mix, slice_hashes
 
 _WORD = np.zeros(256, dtype=bool)
@@ -96,74 +101,77 @@ def unit_table(chunk: Chunk, unit_words: int) -> dict[str, np.ndarray]:
     return {"row": row, "seq": seq, "start": points[starts[first[at]]] - base, "end": points[last] - base, "words": first[to] + count[to] - first[at], "whole": whole, "d1": d1, "d2": d2}
 
 
+def _same_text(id_col: str, text_col: str) -> Column:
+    """What tells rows without an id apart; 0 for the others."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+
+
 def units(df: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per compared unit: id, seq, start, end, words, whole, d1, d2."""
+    """One row per compared unit: id, own (see _same_text), seq, start, end, words, whole, d1, d2."""
     bounded_batches(df)
     names = ("seq", "start", "end", "words", "whole", "d1", "d2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(2)):
                 found = unit_table(chunk, unit_words)
-                keys = batch.column(0).slice(chunk.first, chunk.n).take(pa.array(found["row"]))
+                keys = [batch.column(i).slice(chunk.first, chunk.n).take(pa.array(found["row"])) for i in (0, 1)]
                 columns = [pa.array(found[n].astype(np.int32 if n in names[:5] else np.int64)) for n in names]
-                yield pa.RecordBatch.from_arrays([keys, *columns], names=["id", *names])
-
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(n, T.IntegerType() if n in names[:5] else T.LongType()) for n in names)])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
-
-
-def find_repeats(df: DataFrame, min_words: int = 25, unit_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage or line to remove: id_col, start, end, n_words and
-    n_units (compared in the passage; a line alone is one unit), first_doc and
-    first_start (where its first unit stays). Rows do not overlap."""
-    every = units(df, unit_words, id_col, text_col)
-    digests = every.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n"))
-    again = digests.where(F.col("n") > 1).select("d1", "d2", "first")
-    repeated = every.join(again, ["d1", "d2"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
-    repeated = repeated.groupBy("id", "seq", "start").agg(F.max("end").alias("end"), F.max("words").alias("words"), F.max("whole").alias("whole"), F.min("first").alias("first"))
+                yield pa.RecordBatch.from_arrays([*keys, *columns], names=["id", "own", *names])
+
+    fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("own", T.LongType())]
+    schema = T.StructType([*fields, *(T.StructField(n, T.IntegerType() if n in names[:5] else T.LongType()) for n in names)])
+    return df.select(F.col(id_col).alias("id"), _same_text(id_col, text_col).alias("own"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def _passages(df: DataFrame, scratch: Scratch, min_words: int, unit_words: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per passage or line to remove: id, own, start, end, n_words, n_units, first."""
+    every = scratch.keep(units(df, unit_words, id_col, text_col))
+    # a document with an id comes before one without
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "own", "start")
+    digests = every.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    again = scratch.keep(digests.where(F.col("n") > 1).select("d1", "d2", "first"))
+    repeated = every.join(again, ["d1", "d2"]).where(place != F.col("first"))
+    repeated = repeated.groupBy("id", "own", "seq", "start").agg(F.max("end").alias("end"), F.max("words").alias("words"), F.max("whole").alias("whole"), F.min("first").alias("first"))
     # neighbours have consecutive numbers
     line = (F.col("seq") < 0).alias("line")
-    order = Window.partitionBy("id", "line").orderBy("seq", "start")
+    order = Window.partitionBy("id", "own", "line").orderBy("seq", "start")
     islands = repeated.select("*", line).withColumn("island", F.col("seq") - F.row_number().over(order))
-    island = Window.partitionBy("id", "line", "island")
+    island = Window.partitionBy("id", "own", "line", "island")
     long = ~F.col("line") & (F.sum("words").over(island) >= min_words)
     cut = islands.withColumn("long", long).withColumn("reach", F.when(F.col("long"), F.max("end").over(island)).otherwise(F.col("end"))).where(F.col("long") | (F.col("whole") == 1))
     # lines within or across a passage are one with it
-    along = Window.partitionBy("id").orderBy("start", "seq")
+    along = Window.partitionBy("id", "own").orderBy("start", "seq")
     apart = F.coalesce(F.col("start") >= F.max("reach").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     cut = cut.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     of_long = F.when(F.col("long"), F.col("words"))
-    passages = cut.groupBy("id", "passage").agg(
+    return cut.groupBy("id", "own", "passage").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.coalesce(F.sum(of_long), F.sum("words")).alias("n_words"),
         F.greatest(F.count(of_long), F.lit(1)).alias("n_units"),
         F.min_by("first", F.struct("start", "seq")).alias("first"),
     )
-    return passages.select(
+
+
+def find_repeats(df: DataFrame, scratch: Scratch, min_words: int = 1, unit_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per passage or line to remove: id_col, start, end, n_words and
+    n_units (compared in the passage; a line alone is one unit), first_doc and
+    first_start (where its first unit stays). Rows do not overlap."""
+    return _passages(df, scratch, min_words, unit_words, id_col, text_col).select(
         F.col("id").alias(id_col),
-        F.col("start").cast("long").alias("start"),
-        F.col("end").cast("long").alias("end"),
-        F.col("n_words").cast("long").alias("n_words"),
-        F.col("n_units").cast("long").alias("n_units"),
+        *(F.col(c).cast("long").alias(c) for c in ("start", "end", "n_words", "n_units")),
         F.col("first.id").alias("first_doc"),
         F.col("first.start").cast("long").alias("first_start"),
     )
 
 
-def drop_repeats(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def drop_repeats(df: DataFrame, scratch: Scratch, min_words: int = 1, unit_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with repeated passages cut from the text; other columns as they are."""
-    found = find_repeats(df, id_col=id_col, text_col=text_col, **options)
-    spans = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnRenamed(id_col, "_id")
-    joined = df.join(scratch.keep(spans), F.col(id_col) == F.col("_id"), "left")
+    found = _passages(df, scratch, min_words, unit_words, id_col, text_col)
+    mark = F.struct("start", "end", F.lit("").alias("mark"))
+    spans = found.groupBy(F.col("id").alias("_id"), F.col("own").alias("_own")).agg(F.array_sort(F.collect_list(mark)).alias("_spans"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (_same_text(id_col, text_col) == F.col("_own"))
+    joined = df.join(scratch.keep(spans), same, "left")
     text = F.col(text_col)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(done, s):
-        gap = F.greatest(s["start"] - done["at"], F.lit(0).cast("long"))
-        part = F.substring(text, (done["at"] + 1).cast("int"), gap.cast("int"))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.array_append(done["parts"], part).alias("parts"))
-
-    cut = F.aggregate("_spans", start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut).otherwise(text)).select(*df.columns)
+    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), replaced(text, F.col("_spans"))).otherwise(text)).select(*df.columns)

@@ -323,20 +323,20 @@ def test_repeats(spark):
         texts.append(rng.choice([" ", "\n"]).join(own))
     texts += [texts[0], "", None, "Short. Short. Short.", passages[0].upper(), "É. " + passages[1] + "\n\n" + passages[1]]
     docs = frame(spark, texts)
-    found = repeats.find_repeats(docs).collect()
+    found = repeats.find_repeats(docs, Scratch(spark), min_words=25).collect()
     assert collections.Counter((r.doc_id, r.n_words) for r in found) == brute_repeats(texts, 25, 4)
     for r in found:
         words = lambda s: re.findall(r"\w+", s.lower())
         there = words(texts[r.first_doc][r.first_start :])
         assert words(texts[r.doc_id][r.start : r.end])[:4] == there[:4] and (r.first_doc, r.first_start) < (r.doc_id, r.start)
-    cut = repeats.drop_repeats(docs, Scratch(spark))
+    cut = repeats.drop_repeats(docs, Scratch(spark), min_words=25)
     out = {r.doc_id: r.text for r in cut.collect()}
     gone = collections.Counter()
     for r in found:
         gone[r.doc_id] += r.end - r.start
     assert cut.columns == docs.columns and all(len(out[i] or "") == len(t or "") - gone[i] for i, t in enumerate(texts)) and out[62] is None
-    assert repeats.find_repeats(docs.limit(0)).count() == 0
-    assert repeats.find_repeats(docs.where("doc_id = 1").union(docs.where("doc_id = 1"))).count() == 0
+    assert repeats.find_repeats(docs.limit(0), Scratch(spark)).count() == 0
+    assert repeats.find_repeats(docs.where("doc_id = 1").union(docs.where("doc_id = 1")), Scratch(spark)).count() == 0
 
 
 def test_repeated_lines_of_any_length(spark):
@@ -345,10 +345,10 @@ def test_repeated_lines_of_any_length(spark):
     texts = [f"{prose(rng, 30)}\n{line.upper()}!\n{prose(rng, 20)}\n{pair}\n{word}\n{prose(rng, 9)}" for _ in range(5)]
     texts += [f"{prose(rng, 9)} {line} {prose(rng, 9)}", f"{prose(rng, 5)}. See the terms of use below! {prose(rng, 5)}", f"{word}\n{word}"]
     docs = frame(spark, texts)
-    found = repeats.find_repeats(docs).collect()
+    found = repeats.find_repeats(docs, Scratch(spark), min_words=25).collect()
     assert sorted((r.doc_id, r.n_words) for r in found) == sorted([(i, n) for i in range(1, 5) for n in (6, 8, 1)] + [(7, 1), (7, 1)])
     assert {(r.first_doc, texts[0][r.first_start :][:4]) for r in found} == {(0, "ALL "), (0, "Read"), (0, "Menu")}
-    out = {r.doc_id: r.text for r in repeats.drop_repeats(docs, Scratch(spark)).collect()}
+    out = {r.doc_id: r.text for r in repeats.drop_repeats(docs, Scratch(spark), min_words=25).collect()}
     assert (out[0], out[5], out[6]) == (texts[0], texts[5], texts[6])
     for i in range(1, 5):
         a, _, b, _, _, c = texts[i].split("\n")
