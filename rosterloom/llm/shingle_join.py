@@ -7,22 +7,27 @@ similarity s or more share a column among the first n - ceil(s * n) + 1 of
 either. The order comes from a fixed-size sketch of column loads, counted over
 all documents and broadcast (2**sketch_bits numbers).
 
-The product is taken by column. First each column links its rows to their
-neighbours by size and to its most connected row, which finds the components of
-most groups of copies with a linear number of comparisons. Columns whose rows
-lie in one component by then need no more. The others are multiplied out: for
-each pair of rows of different components the overlap counts are accumulated
-over the columns early enough in both rows for the bound to be in reach, and a
-pair is dropped when its overlap so far and the most that the rest of both
-sets can add stay below the bound that follows from the sizes. What is left is
-held against a second bound, from the sets' sizes by block of columns, and then
-compared exactly on whole sets. So no link between components is missed, and
-pairs within a component are not all made.
+The product is taken by column. A column of more than ``block`` rows is cut into
+blocks of rows, and each pair of blocks is multiplied on its own, so a column in
+a third of all rows is many tasks. Overlap counts are accumulated over the
+columns early enough in both rows for the bound to be in reach, and a pair is
+dropped when its overlap so far and the most that the rest of both sets can add
+stay below the bound that follows from the sizes. What is left is held against a
+second bound, from the sets' sizes by block of columns, and then compared exactly
+on whole sets. ``similar_pairs`` returns the product's links.
+
+Components need fewer: with ``prefilter`` each column first links its rows to the
+most connected row of their size class and of the next, a linear number of
+comparisons that finds the components of most groups of copies. Columns whose
+rows lie in one component by then are left out of the product, and so are pairs
+within a component. No link between components is missed; without the prefilter,
+the product makes all links, and the components are the same.
 
 Nulls, empty texts and texts without words have the empty set and link with
-nothing; a text of fewer than n words is one shingle. Equal rows share a class.
-Sets are told apart by a 64-bit digest and their size, shingles by 64-bit
-hashes. Extra columns are not read.
+nothing; a text of fewer than n words is one shingle. Equal rows share a class;
+of rows without an id, only those in a class with ids get one. Sets are told
+apart by a 64-bit digest and their size, shingles by 64-bit hashes. An empty
+table gives an empty one. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,9 +257,60 @@ class _Verifier:
         return found
 
 
-def _ordered(x: str, y: str, nx: str, ny: str, num: int, den: int) -> Column:
-    fits = F.least(nx, ny) * den >= F.greatest(nx, ny) * num
-    return F.when(F.col(x).isNotNull() & (F.col(x) != F.col(y)) & fits, F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+def _fits(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(x, y) * den >= F.greatest(x, y) * num
+
+
+class _Matrix:
+    """The incidence matrix of a table: its classes, and its shared columns."""
+
+    def __init__(self, df: DataFrame, scratch: Scratch, n: int, num: int, den: int, sketch_bits: int, id_col: str, text_col: str) -> None:
+        self._scratch, self._num, self._den = scratch, num, den
+        self.docs = scratch.keep(_prefixes(df, n, num, den, sketch_bits, id_col, text_col))
+        # one row per class; rows with an id come before those without
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")
+        grouped = self.docs.where("n > 0").groupBy(F.col("digest").alias("node")).agg(least, *(F.first(c).alias(c) for c in ("n", "sketch", "prefix")))
+        self.classes = scratch.keep(grouped.select("node", "least.id", "n", "sketch", "prefix"))
+        entries = self.classes.select("node", "n", F.posexplode("prefix").alias("pos", "column"))
+        rows = scratch.keep(entries.groupBy("column").agg(F.count("*").alias("rows")).where(F.col("rows") > 1))
+        self.shared = scratch.keep(entries.join(rows, "column"))
+        self.verifier = _Verifier(df, self.classes, scratch, n, num, den, id_col, text_col)
+
+    def near(self) -> DataFrame:
+        """Pairs of rows and the most connected rows of their columns, by size class."""
+        step = F.floor(F.log(F.col("n")) / F.log(F.lit(self._den / self._num))).cast("int").alias("step")
+        company = self._scratch.keep(self.shared.groupBy("node").agg(F.sum("rows").alias("company")))
+        led = self.shared.join(company, "node").select("column", "node", "n", "company", step)
+        heads = led.groupBy("column", "step").agg(F.max(F.struct("company", "node", "n")).alias("head"))
+        heads = self._scratch.keep(heads.select("column", F.explode(F.array("step", F.col("step") - 1)).alias("step"), F.col("head.node").alias("head"), F.col("head.n").alias("head_n")))
+        pairs = led.join(heads, ["column", "step"]).where((F.col("node") != F.col("head")) & _fits("n", "head_n", self._num, self._den))
+        return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+
+    def product(self, parts: DataFrame | None, block: int) -> DataFrame:
+        """Pairs of rows whose overlap can still reach the bound. parts: pairs
+        within a component of it are not made."""
+        num, den = self._num, self._den
+        some = self.shared.select("column", "node", "n", "pos", "rows")
+        if parts is None:
+            some = some.withColumn("component", F.col("node"))
+        else:
+            some = some.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = some.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+            some = some.join(self._scratch.keep(mixed.select("column")), "column")
+        blocks = F.ceil(F.col("rows") / F.lit(block)).cast("int")
+        some = self._scratch.keep(some.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        x = some.withColumn("left", F.col("own")).withColumn("right", every).alias("x")
+        y = some.withColumn("right", F.col("own")).withColumn("left", every).alias("y")
+        cell = (F.col("x.column") == F.col("y.column")) & (F.col("x.left") == F.col("y.left")) & (F.col("x.right") == F.col("y.right"))
+        apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+        # a similar pair meets first where the rest of both sets still reaches the bound
+        early = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (den + num) >= (F.col("x.n") + F.col("y.n")) * num
+        met = x.join(y, cell & apart & _fits("x.n", "y.n", num, den) & early).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        overlaps = met.agg(F.count("*").alias("both"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"))
+        most = F.col("both") + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j"))
+        return overlaps.where(most * (den + num) >= (F.col("na") + F.col("nb")) * num)
 
 
 def jaccard_classes(
@@ -264,62 +320,41 @@ def jaccard_classes(
     num: int = 80,
     den: int = 100,
     sketch_bits: int = 22,
+    block: int = 1024,
+    prefilter: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per input row: id_col, n_shingles, class_id (least id with the
     same set) and component_id (least id reachable by links of similarity
     num / den or more, itself included)."""
-    docs = scratch.keep(_prefixes(df, n, num, den, sketch_bits, id_col, text_col))
-    reps = docs.where("n > 0").groupBy("digest", "n").agg(F.min(F.struct("id", "sketch")).alias("least"))
-    reps = scratch.keep(reps.select(F.col("digest").alias("node"), "n", "least.id", "least.sketch"))
-    # one row of the matrix per class; equal ids with other sets fall away by the digest
-    rows = docs.select("id", "digest", "n", "prefix").join(reps.select(F.col("id"), F.col("node").alias("digest")), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    entries = rows.select(F.col("digest").alias("node"), "n", F.posexplode("prefix").alias("pos", "column"))
-    by_size = Window.partitionBy("column").orderBy("n", "node")
-    in_column = Window.partitionBy("column")
-    shared = (
-        entries.withColumn("prev", F.lag(F.struct("node", "n")).over(by_size))
-        .withColumn("df", F.count("*").over(in_column))
-        .where(F.col("df") > 1)
-        .select("column", "node", "n", "pos", "df", F.col("prev.node").alias("prev"), F.col("prev.n").alias("prev_n"))
-    )
-    shared = scratch.keep(shared)
-    verifier = _Verifier(df, reps, scratch, n, num, den, id_col, text_col)
-
-    # the row with most company in its columns is the hub of each
-    company = shared.groupBy("node").agg(F.sum("df").alias("company"))
-    hub = F.max(F.struct("company", "node", "n")).over(in_column)
-    hubs = shared.join(company, "node").select("node", "n", hub.alias("hub")).select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    near = shared.select(_ordered("prev", "node", "prev_n", "n", num, den).alias("p"))
-    near = near.union(hubs.select(_ordered("hub", "node", "hub_n", "n", num, den).alias("p")))
-    links = verifier.links(near.where("p is not null").select("p.*"))
-    parts = scratch.keep(components(links, scratch))
-
-    # multiply out the columns whose rows are in several components
-    placed = shared.select("column", "node", "n", "pos").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = F.min("component").over(in_column) != F.max("component").over(in_column)
-    some = scratch.keep(placed.withColumn("mixed", mixed).where("mixed").drop("mixed"))
-    x, y = some.alias("x"), some.alias("y")
-    apart = (F.col("x.column") == F.col("y.column")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    fits = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
-    # a similar pair meets first where the rest of both sets still reaches the bound
-    early = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (den + num) >= (F.col("x.n") + F.col("y.n")) * num
-    product = x.join(y, apart & fits & early).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    overlaps = product.agg(F.count("*").alias("both"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"))
-    most = F.col("both") + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j"))
-    hopeful = overlaps.where(most * (den + num) >= (F.col("na") + F.col("nb")) * num)
-    more = verifier.links(hopeful)
-
-    final = components(links.union(more), scratch)
-    named = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    matrix = _Matrix(df, scratch, n, num, den, sketch_bits, id_col, text_col)
+    if prefilter:
+        near = matrix.verifier.links(matrix.near())
+        links = near.union(matrix.verifier.links(matrix.product(scratch.keep(components(near, scratch)), block)))
+    else:
+        links = matrix.verifier.links(matrix.product(None, block))
+    final = components(links, scratch)
+    named = matrix.classes.select("node", "id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    classes = scratch.keep(named.join(least, "component").select(F.col("node").alias("digest"), F.col("id").alias("class_id"), "component_id"))
-    out = docs.select("id", "digest", F.col("n").alias("n_shingles")).join(classes, "digest", "left")
+    named = scratch.keep(named.join(least, "component").select(F.col("node").alias("digest"), F.col("id").alias("class_id"), "component_id"))
+    out = matrix.docs.select("id", "digest", F.col("n").alias("n_shingles")).join(named, "digest", "left")
     own = lambda c: F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", own("class_id").alias("class_id"), own("component_id").alias("component_id"))
 
 
+def similar_pairs(
+    df: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100, sketch_bits: int = 22, block: int = 1024, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Every link between classes: a and b, the least ids of two sets of
+    similarity num / den or more; jaccard_classes has the rows of each class."""
+    matrix = _Matrix(df, scratch, n, num, den, sketch_bits, id_col, text_col)
+    links = scratch.keep(matrix.verifier.links(matrix.product(None, block)))
+    name = lambda k: matrix.classes.select(F.col("node").alias(k), F.col("id").alias(f"id_{k}"))
+    named = links.join(name("a"), "a").join(name("b"), "b")
+    return named.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
 def keep_first(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of df whose id is the least of their component, with all columns.
     Rows without an id stay; of rows equal in id, all stay or none."""

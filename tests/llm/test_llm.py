@@ -137,10 +137,7 @@ def test_vectors(spark):
 
 
 def test_local_roots_span():
-    g = np.zeros((4, 4), dtype=bool)
-    for a, b in ((0, 3), (1, 2), (2, 3)):
-        g[a, b] = g[b, a] = True
-    assert vector_dups._roots(g).tolist() == [0, 0, 0, 0]
+    assert vector_dups._roots(np.array([0, 1, 2]), np.array([3, 2, 3]), 4).tolist() == [0, 0, 0, 0]
 
 
 def test_components(spark):
@@ -362,7 +359,7 @@ def brute_jaccard(texts, n, num, den):
         w = WORD.findall(re.sub("[A-Z]", lambda c: c[0].lower(), t or ""))
         sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
     links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
-    return [len(s) for s in sets], brute_components(len(sets), links)
+    return [len(s) for s in sets], brute_components(len(sets), links), links
 
 
 @pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
@@ -385,13 +382,32 @@ def test_jaccard(spark, n, num):
         copy[(4 * k + 60) % 118] = f"z{k}"
         texts.append(" ".join(copy))
     texts += ["", None, "a", "A", "a b", " a\x0bb ", "a b c d", "a  b c D", texts[0], "w1 " * 3000]
+    # one column in a third of the rows
+    hot = "hot boiler plate of five words"
+    texts += [f"{hot} {prose(rng, rng.randrange(1, 4))}" for _ in range(75)]
     docs = frame(spark, texts)
-    got = {r.doc_id: r for r in shingle_join.jaccard_classes(docs, Scratch(spark), n=n, num=num, den=100, sketch_bits=12).collect()}
-    sizes, roots = brute_jaccard(texts, n, num, 100)
-    assert [got[i].n_shingles for i in range(len(texts))] == sizes
-    assert [got[i].component_id for i in range(len(texts))] == roots
+    sizes, roots, links = brute_jaccard(texts, n, num, 100)
+    for options in ({}, {"block": 8}, {"block": 8, "prefilter": False}):
+        got = {r.doc_id: r for r in shingle_join.jaccard_classes(docs, Scratch(spark), n=n, num=num, den=100, sketch_bits=12, **options).collect()}
+        assert [got[i].n_shingles for i in range(len(texts))] == sizes
+        assert [got[i].component_id for i in range(len(texts))] == roots
     kept = shingle_join.keep_first(docs, Scratch(spark), n=n, num=num, den=100, sketch_bits=12)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(roots)
+    pairs = [(r.a, r.b) for r in shingle_join.similar_pairs(docs, Scratch(spark), n=n, num=num, den=100, sketch_bits=12, block=8).collect()]
+    classes = [got[i].class_id for i in range(len(texts))]
+    want = {(min(x, y), max(x, y)) for x, y in ((classes[a], classes[b]) for a, b in links) if x != y}
+    assert len(pairs) == len(want) and set(pairs) == want
+
+
+def test_jaccard_without_ids(spark):
+    rng = random.Random(12)
+    base, other = prose(rng, 60), prose(rng, 60)
+    rows = [(None, base), (7, base + " w"), (9, base), (4, other), (None, other.upper()), (None, "alone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.component_id) for r in shingle_join.jaccard_classes(docs, Scratch(spark), sketch_bits=12).collect()), key=repr)
+    assert got == sorted([(None, 9, 7), (7, 7, 7), (9, 9, 7), (4, 4, 4), (None, 4, 4), (None, None, None), (None, None, None)], key=repr)
+    kept = shingle_join.keep_first(docs, Scratch(spark), sketch_bits=12)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [4, 7, None, None, None, None]
 
 
 def test_jaccard_empty(spark):
