@@ -48,7 +48,6 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/rosterloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
-        self._paths: dict[int, str] = {}
         self._n = 0
         atexit.register(self._at_exit)
 
@@ -57,12 +56,12 @@ class Scratch:
         self._n += 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        out.__dict__["_scratch_path"] = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            path = self._paths.pop(id(table), None)
+            path = table.__dict__.pop("_scratch_path", None)
             if path:
                 _delete(self.spark, path)
 
