@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.dates import DAY_NAMES
@@ -15,6 +15,7 @@ ADDRESS_WORDS = ("ΟΔΟΣ", "ΣΤΡ", "ΛΕΩΦ", "ΠΛΑΤΕΙΑ", "ΠΛ.", "
 STREET = r"(?iu)(str\.?|street|οδος|οδ|στρ\.?|λεωφ\.?|πλ\.?|πλατει)"
 PHONE_WORD = r"(?iu)(τηλ|thl)"
 GREEK_IN_LINE = r"[Α-Ωα-ωάέήίόύώΐΰ]"
+READABLE = r"[Α-Ωα-ωάέήίόύώΐΰA-Za-z0-9]"
 GREEK_IN_NAME = r"[Α-Ωα-ωάέήίόύώ]"
 DATE_LINE = r"^\d{1,2}[/.]\d{1,2}[/.]\d{4}$"
 TIME_LINE = r"^\d{1,2}:\d{2}\s*[-–—]\s*\d{1,2}:\d{2}$"
@@ -33,6 +34,22 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _phone(upper: Column) -> Column:
+    n = count_digits(upper)
+    return (upper.rlike(PHONE_WORD) & (F.char_length(digits_only(upper)) >= 6)) | ((n >= 6) & (n / F.greatest(F.char_length(upper), F.lit(1)) > 0.5))
+
+
+def _name(x: Column, upper: Column) -> Column:
+    described = F.lit(False)
+    for prefix in DESCRIPTION_PREFIXES:
+        described = described | upper.startswith(prefix)
+    return x.rlike(GREEK_IN_LINE) & ~x.rlike("[0-9]") & (F.char_length(upper) >= 3) & ~upper.isin(*STOP_WORDS) & ~described
+
+
+def _junk(trimmed: Column) -> Column:
+    return trimmed.isin("", "/", "-", ".") | ~trimmed.rlike(READABLE)
+
+
 def is_date_line(c: Column | str) -> Column:
     return trim_space(c).rlike(DATE_LINE)
 
@@ -43,9 +60,7 @@ def is_time_line(c: Column | str) -> Column:
 
 def is_phone_line(c: Column | str) -> Column:
     """A phone word with six digits (read leniently), or mostly digits."""
-    x = upper_plain(trim_space(c))
-    n = count_digits(x)
-    return (x.rlike(PHONE_WORD) & (F.char_length(digits_only(x)) >= 6)) | ((n >= 6) & (n / F.greatest(F.char_length(x), F.lit(1)) > 0.5))
+    return _phone(upper_plain(trim_space(c)))
 
 
 def looks_like_address(c: Column | str) -> Column:
@@ -57,16 +72,12 @@ def looks_like_address(c: Column | str) -> Column:
 
 
 def looks_like_name(c: Column | str) -> Column:
-    x = upper_plain(trim_space(c))
-    described = F.lit(False)
-    for prefix in DESCRIPTION_PREFIXES:
-        described = described | x.startswith(prefix)
-    return x.rlike(GREEK_IN_LINE) & ~x.rlike("[0-9]") & (F.char_length(x) >= 3) & ~x.isin(*STOP_WORDS) & ~described
+    return _name(_col(c), upper_plain(trim_space(c)))
 
 
 def is_junk(c: Column | str) -> Column:
-    x = trim_space(c)
-    return x.isin("", "/", "-", ".") | ~x.rlike(r"[\p{L}\p{N}]")
+    """Nothing but a separator, or no Greek letter, Latin letter or ASCII digit."""
+    return _junk(trim_space(c))
 
 
 def has_time_or_date(c: Column | str) -> Column:
@@ -81,12 +92,24 @@ def is_day_name(c: Column | str) -> Column:
 def line_kind(c: Column | str) -> Column:
     """phone, skip, address or name; the first rule that fits decides."""
     x = _col(c)
+    return _kind(x, trim_space(x), upper_plain(trim_space(x)))
+
+
+def with_line_kind(df: DataFrame, line: str, out: str) -> DataFrame:
+    """line_kind as a column of df; a line is trimmed and upper-cased once, in
+    projections of their own, which Catalyst keeps apart."""
+    trimmed = df.withColumn("_trimmed", trim_space(line))
+    upper = trimmed.withColumn("_upper", upper_plain("_trimmed"))
+    return upper.withColumn(out, _kind(F.col(line), F.col("_trimmed"), F.col("_upper"))).drop("_trimmed", "_upper")
+
+
+def _kind(x: Column, trimmed: Column, upper: Column) -> Column:
     return (
-        F.when(is_phone_line(x), "phone")
-        .when(is_junk(x), "skip")
-        .when(has_time_or_date(x) | is_date_line(x) | is_day_name(x), "skip")
+        F.when(_phone(upper), "phone")
+        .when(_junk(trimmed), "skip")
+        .when(has_time_or_date(x) | trimmed.rlike(DATE_LINE) | upper.isin(*DAY_NAMES), "skip")
         .when(looks_like_address(x), "address")
-        .when(looks_like_name(x), "name")
+        .when(_name(x, upper), "name")
         .when(x.rlike("[0-9]"), "address")
         .otherwise("name")
     )

@@ -31,6 +31,8 @@ DIGRAPHS = (("ΑΥ", "AV"), ("ΕΥ", "EV"), ("ΟΥ", "OU"), ("ΤΖ", "TZ"), ("Γ
 LONG_LETTERS = (("Θ", "TH"), ("Ξ", "KS"), ("Χ", "CH"), ("Ψ", "PS"))
 LETTERS_GREEK = "ΑΒΓΔΕΖΗΙΚΛΜΝΟΠΡΣΤΥΦΩ"
 LETTERS_LATIN = "AVGDEZIIKLMNOPRSTYFO"
+#: All white space, as code points: controls, blanks, and the separators of Unicode.
+WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 TRIM_SIGNS = r""".,;\-—|/"' """
 # --------------------------------------------------------------------------
 
@@ -68,7 +70,7 @@ def _col(c: Column | str) -> Column:
 
 def trim_space(c: Column | str) -> Column:
     """Trims all white space; Spark's own trim takes blanks only."""
-    return F.regexp_replace(_col(c), r"^[\s\x0B\x85\p{Z}]+|[\s\x0B\x85\p{Z}]+$", "")
+    return F.btrim(_col(c), F.lit("".join(map(chr, WHITE_SPACE))))
 
 
 def strip_accents(c: Column | str) -> Column:
@@ -77,8 +79,9 @@ def strip_accents(c: Column | str) -> Column:
 
 def upper_plain(c: Column | str) -> Column:
     """Upper case, one sign for one: sharp s stays, as it has no single capital."""
-    parts = F.split(_col(c), "ß", -1)
-    return F.array_join(F.transform(parts, F.upper), "ß")
+    x = _col(c)
+    # a lambda leaves generated code, so only lines with a sharp s go there
+    return F.when(x.contains("ß"), F.array_join(F.transform(F.split(x, "ß", -1), F.upper), "ß")).otherwise(F.upper(x))
 
 
 def normalize_text(c: Column | str, compose: bool = False) -> Column:
@@ -118,7 +121,11 @@ def similarity(a: Column | str, b: Column | str, unit: str = "bytes") -> Column:
     """1 - edits / longer length, of trimmed upper-cased text. Edits count
     characters; the length counts bytes by default, which is how published
     results were made, or characters with unit="chars"."""
-    a, b = (upper_plain(trim_space(x)) for x in (a, b))
+    return similarity_prepared(*(upper_plain(trim_space(x)) for x in (a, b)), unit)
+
+
+def similarity_prepared(a: Column, b: Column, unit: str = "bytes") -> Column:
+    """similarity of text that is trimmed and upper-cased already."""
     size = F.octet_length if unit == "bytes" else F.char_length
     near = 1 - F.levenshtein(a, b) / F.greatest(size(a), size(b))
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(near)

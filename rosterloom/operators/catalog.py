@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterloom.functions import checks, text
-from rosterloom.operators.geometry import short_list
+from rosterloom.operators.geometry import BLOCK_ITEMS, against_blocks
 
 # --- fixed values ---------------------------------------------------------
 FUZZY_MATCH, FUZZY_HINT, NAME_MISMATCH = 0.55, 0.30, 0.45
@@ -53,26 +55,30 @@ def pick_reference(pairs: DataFrame, keys: list[str], spaced: bool = True) -> Da
     return top1(pairs, keys, F.greatest(names, addresses), ["ref_name", "ref_no"])
 
 
-def fuzzy_best(entries: DataFrame, names: DataFrame, key: str, name: str, ref_name: str, unit: str = "bytes", block: Column | None = None, ref_block: Column | None = None) -> DataFrame:
+def most_similar(names: DataFrame, name: str, others: DataFrame, other: str, score: Callable[[Column, Column], Column], block: int = BLOCK_ITEMS) -> DataFrame:
+    """The distinct names with best_name, the most similar of the others (itself
+    excepted where it is one of them by the score's caller), ties to the smaller,
+    and best_score. Names are held against blocks of others; no pair is a row."""
+    asked = names.select(F.col(name).alias("_name")).distinct()
+    items = others.select(F.col(other).alias("_other")).distinct()
+
+    def best(some: Column) -> Column:
+        scored = F.transform(some, lambda o: F.struct((-score(F.col("_name"), o)).alias("s"), o.alias("n")))
+        return F.array_min(F.filter(scored, lambda x: x["s"].isNotNull()))
+
+    found = against_blocks(asked, "_name", items, F.col("_other"), best, "_best", block)
+    return found.select("_name", F.col("_best.n").alias("best_name"), (-F.col("_best.s")).alias("best_score"))
+
+
+def fuzzy_best(entries: DataFrame, names: DataFrame, key: str, name: str, ref_name: str, unit: str = "bytes", block: int = BLOCK_ITEMS) -> DataFrame:
     """Each entry's most similar catalog name, ties to the smaller name:
-    best_name, best_score, and level (match, hint or none).
-
-    Distinct keys are compared, not rows. The names are broadcast as one array of
-    checked size; for more names give blocks, and only entries of equal block are
-    compared, as an equi-join.
-    """
-    left = entries.select(F.col(name).alias("_name")).distinct()
-    right = names.select(F.col(ref_name).alias("best_name")).distinct()
-    if block is not None and ref_block is not None:
-        left, right = left.withColumn("_b", block), right.withColumn("_b", ref_block)
-        pairs = left.join(right, "_b").drop("_b")
-    else:
-        packed = short_list(right, F.col("best_name"), "_all")
-        pairs = left.join(F.broadcast(packed)).select("_name", F.explode("_all").alias("best_name"))
-    near = text.name_similarity_squeezed(F.col("_name"), F.col("best_name"), unit)
-    scored = pairs.withColumn("best_score", near)
-    best = scored.groupBy("_name").agg(F.min(F.struct((-F.col("best_score")).alias("s"), F.col("best_name").alias("n"))).alias("_best"))
-    best = best.select("_name", F.col("_best.n").alias("best_name"), (-F.col("_best.s")).alias("best_score"))
+    best_name, best_score, and level (match, hint or none). Distinct names are
+    normalised once and compared, not rows."""
+    # both sides are prepared before they meet, so a comparison is one edit distance each way
+    prepared = lambda df, c: df.select(F.col(c).alias("name")).distinct().withColumn("key", text.name_key("name")).withColumn("latin", text.transliterate("key"))
+    sides = [prepared(d, c).select(F.struct("name", "key", "latin").alias("x")) for d, c in ((entries, name), (names, ref_name))]
+    near = lambda a, b: F.greatest(text.similarity_prepared(a["latin"], b["latin"], unit), text.similarity_prepared(a["key"], b["key"], unit))
+    best = most_similar(sides[0], "x", sides[1], "x", near, block).select(F.col("_name.name").alias("_name"), F.col("best_name.name").alias("best_name"), "best_score")
     level = F.when(F.col("best_score") >= FUZZY_MATCH, "match").when(F.col("best_score") >= FUZZY_HINT, "hint").otherwise("none")
     return entries.join(best.withColumn("level", level), F.col(name) == F.col("_name"), "left").drop("_name")
 

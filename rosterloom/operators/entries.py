@@ -24,7 +24,7 @@ def entries_from_lines(lines: DataFrame, keys: list[str], order: str, line: str)
     """A phone line closes an entry. Name lines are joined in order, address
     lines merged, the last ten-digit phone wins; entries with neither name nor
     phone fall out. entry_no is dense within keys."""
-    kinds = lines.withColumn("_kind", checks.line_kind(line))
+    kinds = checks.with_line_kind(lines, line, "_kind")
     cut = split_by_terminator(kinds, keys, [order], F.col("_kind") == "phone")
     last10 = F.right(text.digits_only(line), F.lit(10))
 

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Most rows of a list that may be broadcast as one array.
-SHORT_LIST = 100_000
+#: Items of one block.
+BLOCK_ITEMS = 10_000
+
 
+def against_blocks(queries: DataFrame, key: str, items: DataFrame, item: Column, best: Callable[[Column], Column], out: str, block: int = BLOCK_ITEMS) -> DataFrame:
+    """queries with out: the least of best(array of items) over all blocks of items.
 
-def short_list(df: DataFrame, item: Column, out: str, most: int = SHORT_LIST) -> DataFrame:
-    """One row with the sorted items of a table of at most ``most`` rows; more is
-    an error that names the way out, never a broadcast that grows."""
-    some = df.limit(most + 1).agg(F.array_sort(F.collect_list(item)).alias(out))
-    return some.withColumn(out, F.when(F.size(out) <= most, F.col(out)).otherwise(F.raise_error(F.lit(f"more than {most} rows: use an equi-join on blocks or cells"))))
+    Items are dealt into sorted arrays of about ``block`` by their hash; every
+    query folds over every array, and no pair becomes a row. One block, of
+    counted size, is broadcast; of more, each query goes to each, as an equi-join
+    by block, and a query's least is combined before the shuffle. key tells
+    queries apart. best must be null for an empty array.
+    """
+    blocks = -(-items.count() // block)
+    packed = items.select(item.alias("_item"))
+    if blocks <= 1:
+        array = packed.agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+        return queries.join(F.broadcast(array)).withColumn(out, best(F.col("_items"))).drop("_items")
+    arrays = packed.groupBy(F.pmod(F.xxhash64("_item"), F.lit(blocks)).alias("_block")).agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    spread = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    least = spread.join(arrays, "_block").withColumn(out, best(F.col("_items"))).groupBy(key).agg(F.min(out).alias(out))
+    return queries.join(least, key, "left")
 
 
 def to_image_space(lines: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,15 +71,13 @@ def band_first(values: DataFrame, bands: DataFrame, row: str, value: str, low: s
     return pairs.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
-def band_nearest(values: DataFrame, bands: DataFrame, row: str, value: str, low: str, high: str, band_ord: str) -> DataFrame:
-    """Each value with the band of least |v - low| + |v - high|, the first on ties.
-    For band tables that fit in memory: they become one sorted array that each
-    value folds over, so there is no join with all pairs."""
-    packed = short_list(bands, F.struct(F.col(band_ord).alias("o"), F.col(low).alias("lo"), F.col(high).alias("hi")), "_bands")
+def band_nearest(values: DataFrame, bands: DataFrame, row: str, value: str, low: str, high: str, band_ord: str, block: int = BLOCK_ITEMS) -> DataFrame:
+    """Each value with the band of least |v - low| + |v - high|, the first on ties."""
     distance = lambda b: F.abs(F.col(value) - b["lo"]) + F.abs(F.col(value) - b["hi"])
-    best = F.array_min(F.transform("_bands", lambda b: F.struct(distance(b).alias("d"), b["o"].alias("o"))))
-    found = values.join(F.broadcast(packed)).withColumn("_best", best)
-    return found.withColumns({"distance": F.col("_best.d"), band_ord: F.col("_best.o")}).drop("_best", "_bands").join(bands, band_ord)
+    item = F.struct(F.col(band_ord).alias("o"), F.col(low).alias("lo"), F.col(high).alias("hi"))
+    nearest = lambda some: F.array_min(F.transform(some, lambda b: F.struct(distance(b).alias("d"), b["o"].alias("o"))))
+    found = against_blocks(values, row, bands, item, nearest, "_best", block)
+    return found.withColumns({"distance": F.col("_best.d"), band_ord: F.col("_best.o")}).drop("_best").join(bands, band_ord)
 
 
 def column_of_line(lines: DataFrame, columns: DataFrame, key: str = "doc_id", slack: int = 8) -> DataFrame:

@@ -126,8 +126,20 @@ def merge_close(values: Column, gap: int = 30, border: int = 5, size: Column | N
 
 
 def fixed_batches(df: DataFrame, keys: list[str], order: list[str], width: str, size: int = 16, multiple: int = 8) -> DataFrame:
-    """Batches of a fixed number of rows, each padded to its widest row rounded up."""
-    numbered = df.withColumn("batch", F.floor((F.row_number().over(_window(keys, order)) - 1) / size).cast("int"))
+    """Batches of a fixed number of rows, each padded to its widest row rounded up.
+
+    Rows are numbered within the values of the first order column; what comes
+    before a value is a running sum over the counts of values. So the rows of a
+    key are many tasks, and only the counts of values meet by key.
+    """
+    cell = [*keys, order[0]]
+    counts = df.groupBy(*cell).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(_window(keys, order[:1]).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(cell)), F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = df.withColumn("_place", F.row_number().over(_window(cell, order[1:] or order)))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cell)]
+    place = F.col("_before") + F.col("_place") - 1
+    numbered = placed.join(counts, same).withColumn("batch", F.floor(place / size).cast("int")).select(*df.columns, "batch")
     widest = F.max(width).over(Window.partitionBy(*keys, "batch"))
     return numbered.withColumn("padded", (F.ceil(widest / multiple) * multiple).cast("int"))
 

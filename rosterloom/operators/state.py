@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterloom.operators.geometry import short_list
+from rosterloom.operators.geometry import BLOCK_ITEMS, against_blocks
 
 
 def latest_by_key(df: DataFrame, keys: list[str], at: list[str], values: list[str]) -> DataFrame:
@@ -53,10 +53,17 @@ def single_flight(requests: DataFrame, key: str, order: str) -> DataFrame:
     return requests.withColumn("leader", F.row_number().over(first) == 1)
 
 
-def interval_pick(points: DataFrame, intervals: DataFrame, row: str, at: str, low: str, high: str, ordinal: str) -> DataFrame:
+def interval_pick(points: DataFrame, intervals: DataFrame, row: str, at: str, low: str, high: str, ordinal: str, block: int = BLOCK_ITEMS) -> DataFrame:
     """The first interval, by ordinal, that holds a point (both ends closed), else
-    the newest one. Intervals are a short list and travel as an array."""
-    packed = short_list(intervals, F.struct(F.col(ordinal).alias("o"), F.col(low).alias("lo"), F.col(high).alias("hi")), "_all")
-    holding = F.filter("_all", lambda i: F.col(at).between(i["lo"], i["hi"]))
-    pick = F.coalesce(F.get(holding, F.lit(0))["o"], F.get(F.reverse("_all"), F.lit(0))["o"])
-    return points.join(F.broadcast(packed)).withColumn(ordinal, pick).drop("_all")
+    the newest one. row tells points apart."""
+    item = F.struct(F.col(ordinal).alias("o"), F.col(low).alias("lo"), F.col(high).alias("hi"))
+
+    def first(some: Column) -> Column:
+        holding = F.filter(some, lambda i: F.col(at).between(i["lo"], i["hi"]))
+        # a holding interval comes before every other, and of the others the newest
+        held = F.struct(F.lit(0).alias("none"), F.get(holding, F.lit(0))["o"].alias("rank"), F.get(holding, F.lit(0))["o"].alias("o"))
+        newest = F.get(some, F.size(some) - 1)["o"]
+        return F.when(F.size(holding) > 0, held).when(F.size(some) > 0, F.struct(F.lit(1).alias("none"), (-newest).alias("rank"), newest.alias("o")))
+
+    found = against_blocks(points, row, intervals, item, first, "_pick", block)
+    return found.withColumn(ordinal, F.col("_pick.o")).drop("_pick")

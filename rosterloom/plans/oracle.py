@@ -181,7 +181,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH l AS (SELECT *, length(regexp_replace(up, '[^0-9]', '', 'g')) AS nd FROM ({_LINE}))
         SELECT lang, CASE
             WHEN (regexp_matches(up, '(?i)(τηλ|thl)') AND length({_digits("up")}) >= 6) OR (nd >= 6 AND nd / greatest(length(up), 1) > 0.5::DOUBLE) THEN 'phone'
-            WHEN tr IN ('', '/', '-', '.') OR NOT regexp_matches(tr, '[\\p{{L}}\\p{{N}}]') THEN 'skip'
+            WHEN tr IN ('', '/', '-', '.') OR NOT regexp_matches(tr, '{checks.READABLE}') THEN 'skip'
             WHEN (contains(line, ':') AND (contains(line, '-') OR contains(line, '/'))) OR regexp_matches(tr, '{checks.DATE_LINE}') OR up IN {DAY_NAMES} THEN 'skip'
             WHEN regexp_matches(line, '(?i)(str\\.?|street|οδος|οδ|στρ\\.?|λεωφ\\.?|πλ\\.?|πλατει)') OR (regexp_matches(line, '[0-9]') AND length(line) > 6 AND NOT regexp_matches(line, '{checks.GREEK_IN_LINE}')) THEN 'address'
             WHEN regexp_matches(up, '{checks.GREEK_IN_LINE}') THEN 'name'

@@ -49,9 +49,8 @@ def normalize_dedupe_docs(spark, d):
 @query
 def similarity_top1_part(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
-    pairs = names.join(names.select(F.col("p_name").alias("other")), F.col("p_name") != F.col("other"))
-    best = cat.top1(pairs, ["p_name"], text.similarity("p_name", "other"), ["other"])
-    return best.select("p_name", "other", F.round("score", 6).alias("score"))
+    best = cat.most_similar(names, "p_name", names, "p_name", lambda a, b: F.when(a != b, text.similarity(a, b)))
+    return best.select(F.col("_name").alias("p_name"), F.col("best_name").alias("other"), F.round("best_score", 6).alias("score"))
 
 
 @query
@@ -287,7 +286,7 @@ def url_parts(spark, d):
 @query
 def line_classifier(spark, d):
     lines = table(spark, d, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("lang", checks.line_kind("line").alias("kind")).groupBy("lang", "kind").agg(F.count("*").alias("n"))
+    return checks.with_line_kind(lines, "line", "kind").groupBy("lang", "kind").agg(F.count("*").alias("n"))
 
 
 @query
