@@ -103,6 +103,13 @@ def week_start(date: Column | str) -> Column:
     return F.date_trunc("week", date).cast("date")
 
 
+def week_label(dates: Column | str) -> Column:
+    """The seven days from the first of an array of dates on."""
+    first = F.get(F.col(dates) if isinstance(dates, str) else dates, F.lit(0))
+    shown = lambda d: F.date_format(d, "dd/MM/yyyy")
+    return F.when(first.isNull(), "no days parsed").otherwise(F.concat(shown(first), F.lit(".."), shown(F.date_add(first, 6))))
+
+
 def covers_date(dates: Column | str, day: Column) -> Column:
     """Whether an array of dates holds a day."""
     return F.exists(dates, lambda d: d == day)

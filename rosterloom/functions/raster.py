@@ -87,6 +87,24 @@ def resize(a: np.ndarray, w: int, h: int) -> np.ndarray:
     return np.rint(top * (1 - fy) + (a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx) * fy).astype(np.uint8)
 
 
+def resize_area(a: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Whole-number means over the boxes that a smaller picture's pixels cover;
+    bilinear where the picture does not shrink both ways."""
+    if w >= a.shape[1] or h >= a.shape[0]:
+        return resize(a, w, h)
+    ys, xs = ((np.arange(n + 1) * (size / n)).astype(int) for n, size in ((h, a.shape[0]), (w, a.shape[1])))
+    sums = np.zeros((a.shape[0] + 1, a.shape[1] + 1, a.shape[2]), dtype=np.int64)
+    sums[1:, 1:] = a.astype(np.int64).cumsum(axis=0).cumsum(axis=1)
+    top, bottom, left, right = ys[:-1], ys[1:], xs[:-1], xs[1:]
+    box = sums[bottom][:, right] - sums[top][:, right] - sums[bottom][:, left] + sums[top][:, left]
+    return (box // ((bottom - top)[:, None] * (right - left)[None, :])[:, :, None]).astype(np.uint8)
+
+
+def crop(a: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
+    """The part of a picture inside a box, which is clipped to it."""
+    return a[max(y0, 0) : max(y1, 0), max(x0, 0) : max(x1, 0)]
+
+
 def tensor(a: np.ndarray, mean: list[float], std: list[float]) -> np.ndarray:
     """Channel planes of (x / 255 - mean) / std in float32."""
     x = (a.astype(np.float32) / 255 - np.array(mean, dtype=np.float32)) / np.array(std, dtype=np.float32)
@@ -130,6 +148,22 @@ def resized(img: pd.DataFrame, w: pd.Series, h: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([pack(resize(grid(i), int(a), int(b))) for i, a, b in zip(img.to_dict("records"), w, h, strict=True)])
 
 
+@F.pandas_udf(GRID)
+def shrunk(img: pd.DataFrame, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([pack(resize_area(grid(i), int(a), int(b))) for i, a, b in zip(img.to_dict("records"), w, h, strict=True)])
+
+
+@F.pandas_udf(GRID)
+def cropped(img: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([pack(crop(grid(i), *(int(b[c]) for c in ("x0", "y0", "x1", "y1")))) for i, b in zip(img.to_dict("records"), box.to_dict("records"), strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def tensor_planes(img: pd.DataFrame) -> pd.Series:
+    """Channel planes, one after another, with mean and deviation 0.5."""
+    return pd.Series([tensor(g, [0.5] * g.shape[2], [0.5] * g.shape[2]).astype(np.float64).ravel().tolist() for g in map(grid, img.to_dict("records"))])
+
+
 @F.pandas_udf(T.DoubleType())
 def skew(img: pd.DataFrame) -> pd.Series:
     return pd.Series([skew_angle(grid(i)) for i in img.to_dict("records")])

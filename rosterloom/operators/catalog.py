@@ -15,6 +15,7 @@ FUZZY_MATCH, FUZZY_HINT, NAME_MISMATCH = 0.55, 0.30, 0.45
 NOTE_MISMATCH = "name mismatch with catalog (%s vs %s)"
 NOTE_CLOSEST = "phone not found in catalog for %s (closest: %s %s)"
 NOTE_HINT = "no catalog match for %s (closest: %s)"
+SHIFT_TIMES = "invalid shift times %s-%s on %s"
 LABEL_PHONE, LABEL_ENTRY, LABEL_NONE = "phone %s", 'entry "%s"', "entry without phone or name"
 # --------------------------------------------------------------------------
 
@@ -150,8 +151,8 @@ def validate(entries: DataFrame, catalog: DataFrame, keys: list[str], picks: Dat
 
 def shift_time_warnings(shifts: DataFrame) -> DataFrame:
     """One warning per shift with an invalid time, not one per entry."""
-    bad = ~(checks.valid_time("from_time") & checks.valid_time("to_time")) & ((F.col("from_time") != "") | (F.col("to_time") != ""))
-    return shifts.where(bad).withColumn("warning", F.format_string("invalid shift time %s-%s", "from_time", "to_time"))
+    bad = ~(checks.valid_time("from_time") & checks.valid_time("to_time"))
+    return shifts.where(bad).withColumn("warning", F.format_string(SHIFT_TIMES, "from_time", "to_time", F.date_format("date", "dd/MM/yyyy")))
 
 
 def last_score_by_phone(validated: DataFrame, order: list[str], default: float = 0.6) -> DataFrame:
@@ -166,7 +167,7 @@ def scores_onto(entries: DataFrame, scores: DataFrame, default: float = 0.6) ->
     return entries.join(scores.select("phone", F.col("score").alias("confidence")), "phone", "left").withColumn("confidence", F.coalesce("confidence", F.lit(default).cast("float")))
 
 
-def enriched(golden: DataFrame) -> DataFrame:
+def enriched(golden: DataFrame, *more: str) -> DataFrame:
     """Source records (camelCase) to the catalog's enrichment: matched rows with a
     number, photos without content dropped, the block null when it is empty."""
     hours = lambda c: F.when(
@@ -188,21 +189,22 @@ def enriched(golden: DataFrame) -> DataFrame:
     digits = text.digits_only(text.first_non_empty("phone", "source.phone"))
     return golden.where(F.col("matched") & (digits != "")).select(
         digits.alias("digits"), text.first_non_empty("name", "source.name").alias("name"), F.col("source.name").alias("source_name"),
-        F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.when(~empty, block).alias("google"),
+        F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.when(~empty, block).alias("google"), *more,
     )
 
 
-def link_enrichment(catalog: DataFrame, golden: DataFrame, floor: float = 0.4, shared_floor: float = 0.55) -> DataFrame:
+def link_enrichment(catalog: DataFrame, golden: DataFrame, floor: float = 0.4, shared_floor: float = 0.55, order: str | None = None) -> DataFrame:
     """Catalog with the best enriched record of the same number: score at least
     floor, or shared_floor where several entries share the number; ties keep the
-    first record. A linked record overwrites position and block, with nulls too."""
+    first record, by the column order if one is given, else as they were read. A linked record overwrites position and block, with nulls too."""
     refs = by_phone(catalog).withColumn("_refs", F.count("*").over(Window.partitionBy("digits")))
-    found = enriched(golden).withColumn("_ord", F.monotonically_increasing_id())
+    found = enriched(golden.withColumn("_ord", F.col(order) if order else F.monotonically_increasing_id()), "_ord")
     pairs = refs.alias("r").join(found.alias("g"), "digits")
     score = text.source_name_score(F.col("r.name"), F.coalesce("g.name", F.lit("")), F.coalesce("g.source_name", F.lit("")))
     least = F.when(F.col("r._refs") > 1, shared_floor).otherwise(floor)
     good = pairs.withColumn("_score", score).where(F.col("_score") >= least)
-    best = good.groupBy("ref_no").agg(F.max_by(F.struct("g.lat", "g.lon", "g.google"), F.struct("_score", -F.col("_ord"))).alias("_new"))
+    # the highest score, and of equal ones the first record
+    best = good.groupBy("ref_no").agg(F.min_by(F.struct("g.lat", "g.lon", "g.google"), F.struct(-F.col("_score"), "_ord")).alias("_new"))
     joined = catalog.join(best, "ref_no", "left")
     hit = F.col("_new").isNotNull()
     return joined.withColumns({c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in ("lat", "lon", "google")}).drop("_new")

@@ -18,13 +18,15 @@ from rosterloom.operators.catalog import entry_label, top1
 Judge = Callable[[DataFrame], DataFrame]
 
 # --- fixed values: texts of warnings, in the order in which they are tried ---
-SEVERAL = "phone %s matches several catalog entries"
-FAILED = " and identity adjudication failed"
-NO_CANDIDATE = "; adjudicator found no confident candidate (confidence %.2f, same-pharmacy %.2f)"
-UNKNOWN = ' and identity adjudication chose an unknown candidate "%s"'
-BELOW = "; adjudicator confidence %.2f / same-pharmacy %.2f below the gate"
-KEPT = "; kept the similarity pick"
-OVERRIDE = "; adjudicator selected %s instead of the similarity pick %s"
+FAILED = "phone %s matches several catalog entries and identity adjudication failed (%s); kept the similarity pick"
+RETURNED = "phone %s matches several catalog entries and identity adjudication returned %d verdicts; kept the similarity pick"
+NO_CANDIDATE = "phone %s matches several catalog entries; adjudicator found no confident candidate (confidence %.2f, same-pharmacy %.2f); kept the similarity pick"
+UNKNOWN = 'phone %s matches several catalog entries and identity adjudication chose an unknown candidate "%s"; kept the similarity pick'
+BELOW = "phone %s matches several catalog entries; adjudicator confidence %.2f / same-pharmacy %.2f below the gate; kept the similarity pick"
+OVERRIDE = "phone %s matches several catalog entries; adjudicator selected %s instead of the similarity pick %s"
+CHECK_FAILED = "plausibility verification failed for %d unmatched pharmacy entries (%s); the entries are unchanged"
+CHECK_RETURNED = "plausibility verification returned %d verdicts for %d unmatched entries; skipped"
+IMPLAUSIBLE = '%s is not in the catalog; %s "%s" reads implausibly (plausibility %.2f below %.2f) on %s'
 # -----------------------------------------------------------------------------
 
 
@@ -70,15 +72,26 @@ def content_key(*inputs: Column | str, model: str, namespace: str = "") -> Colum
     return F.concat(F.lit(namespace), F.sha2(payload, 256))
 
 
+def latest_decisions(decisions: DataFrame, key: str = "key", at: str = "decided_at") -> DataFrame:
+    """One row per key: the last one put replaces those before it. Without a time
+    of decision, the greatest row, so that a replay gives the same each time."""
+    columns = [c for c in decisions.columns if c != key]
+    # maps have no order; a key's rows of one time are told apart by the other columns
+    ranked = [F.col(at)] * (at in columns) + [F.col(c) for c in columns if decisions.schema[c].dataType.typeName() != "map"]
+    last = decisions.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*(c.alias(f"_{i}") for i, c in enumerate(ranked)))).alias("_last"))
+    return last.select(key, "_last.*").select(*decisions.columns)
+
+
 def replay(asked: DataFrame, decisions: DataFrame, judge: Judge, key: str, usable: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Known decisions and judged misses together, and the fresh ones to append.
+    """Known decisions and judged misses together, and the fresh ones to put.
     Only misses reach the judge, and equal questions are judged once. usable: a
     condition on stored rows; the others count as misses. Stored rows are raw, so
-    gates apply at read time."""
-    stored = decisions if usable is None else decisions.where(usable)
-    stored = stored.dropDuplicates([key])
+    gates apply at read time. The fresh ones are persisted: a judge is asked once,
+    however often its answers are read."""
+    stored = latest_decisions(decisions, key)
+    stored = stored if usable is None else stored.where(usable)
     misses = asked.join(stored.select(key), key, "left_anti").dropDuplicates([key])
-    fresh = judge(misses).select(*stored.columns)
+    fresh = judge(misses).select(*stored.columns).persist()
     return asked.join(stored.unionByName(fresh), key), fresh
 
 
@@ -96,38 +109,60 @@ def restored_choice(position: Column | str, ids: Column | str) -> Column:
 
 def judged_picks(groups: DataFrame, verdicts: DataFrame, picks: DataFrame, keys: list[str], gates: Gates) -> DataFrame:
     """The reference of each ambiguous entry: the judged one if its verdict passes
-    the gates, otherwise the similarity pick with a reason. Columns: keys, ref_no,
-    judged, warning (null where the judge agrees)."""
-    joined = groups.join(picks.select(*keys, F.col("ref_no").alias("_sim"), F.col("ref_name").alias("_sim_name")), keys).join(verdicts, keys, "left")
+    the gates, otherwise the similarity pick with a reason. A judge that failed
+    says why in a column error; other than one verdict is a reason, too. Columns:
+    keys, ref_no, judged, warning (null where the judge agrees)."""
+    named = picks.select(*keys, F.col("ref_no").alias("_sim"), F.col("ref_name").alias("_sim_name"))
+    fields = [F.any_value(c).alias(c) for c in ("choice", "confidence", "same")]
+    error = F.max("error") if "error" in verdicts.columns else F.lit(None).cast("string")
+    counted = verdicts.groupBy(*keys).agg(F.count("*").alias("_n"), error.alias("_error"), *fields)
+    joined = groups.join(named, keys).join(counted, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     chosen = F.get(F.filter("candidates", lambda c: c["id"] == F.col("choice")), F.lit(0))
     passes = checks.accept_identity("choice", "confidence", "same", gates.identity_confidence, gates.identity_same)
-    def kept(template: str, *values: Column | str) -> Column:
-        return F.format_string(SEVERAL + template + KEPT, "phone", *values)
-
     reason = (
-        F.when(F.col("choice").isNull(), kept(FAILED))
-        .when(F.col("choice") == "none", kept(NO_CANDIDATE, "confidence", "same"))
-        .when(chosen.isNull(), kept(UNKNOWN, "choice"))
-        .when(~passes, kept(BELOW, "confidence", "same"))
+        F.when(F.col("_error").isNotNull(), F.format_string(FAILED, "phone", "_error"))
+        .when(F.col("_n") != 1, F.format_string(RETURNED, "phone", "_n"))
+        .when(F.col("choice") == "none", F.format_string(NO_CANDIDATE, "phone", "confidence", "same"))
+        .when(chosen.isNull(), F.format_string(UNKNOWN, "phone", "choice"))
+        .when(~passes, F.format_string(BELOW, "phone", "confidence", "same"))
     )
-    override = F.when(chosen["ref_no"] != F.col("_sim"), F.format_string(SEVERAL + OVERRIDE, "phone", chosen["name"], "_sim_name"))
+    override = F.when(chosen["ref_no"] != F.col("_sim"), F.format_string(OVERRIDE, "phone", chosen["name"], "_sim_name"))
     accepted = reason.isNull()
     return joined.select(*keys, F.when(accepted, chosen["ref_no"]).otherwise(F.col("_sim")).alias("ref_no"), accepted.alias("judged"), F.coalesce(reason, override).alias("warning"))
 
 
-def plausibility_warnings(entries: DataFrame, verdicts: DataFrame, keys: list[str], gates: Gates, failed: bool = False) -> DataFrame:
-    """One row per entry with implausible fields: keys, warning. A failed judge
-    gives exactly one warning, and so does a verdict count that does not fit."""
-    if failed:
-        return entries.limit(1).select(*keys, F.lit("plausibility adjudication failed; entries were not checked").alias("warning"))
-    counts = verdicts.groupBy(*keys).agg(F.count("*").alias("_n"))
-    odd = entries.join(counts, keys, "left").where(F.coalesce("_n", F.lit(0)) != 1).agg(F.count("*").alias("odd"))
-    fields = checks.implausible_fields("name_plausible", "address_plausible", gates.name, gates.address)
-    found = entries.join(verdicts, keys).withColumn("_fields", fields).where(F.size("_fields") > 0)
-    text_of = F.concat(entry_label(), F.lit(": implausible "), F.array_join("_fields", ", "))
-    good = found.join(F.broadcast(odd)).where("odd = 0").select(*keys, text_of.alias("warning"))
-    bad = entries.limit(1).join(F.broadcast(odd)).where("odd > 0").select(*keys, F.concat(F.lit("plausibility verdicts do not fit the entries: "), F.col("odd").cast("string")).alias("warning"))
-    return good.unionByName(bad)
+def plausibility_questions(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per field to judge: keys, field, value; empty fields are not asked about."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("name", "address")))
+    return entries.select(*keys, F.explode(fields).alias("q")).select(*keys, "q.*").where("value <> ''")
+
+
+def merge_questions(pairs: DataFrame, keys: list[str], name: str, address: str, ref_name: str, ref_address: str) -> DataFrame:
+    """One row per question about a pair of records: how they relate, whether the
+    names are the same, and the addresses where both are given."""
+    kinds = F.array_compact(F.array(F.lit("link_state"), F.lit("same_name"), F.when((F.col(address) != "") & (F.col(ref_address) != ""), "same_address")))
+    return pairs.select(*keys, name, address, ref_name, ref_address, F.explode(kinds).alias("question"))
+
+
+def plausibility_warnings(entries: DataFrame, verdicts: DataFrame, keys: list[str], gates: Gates, failed: str | None = None) -> DataFrame:
+    """One row per implausible field of entries (keys, name, address, phone, date):
+    keys, field_no, warning. A judge that failed gives one warning, and so do
+    verdicts that are more or fewer than the entries; both have null keys."""
+    none = [F.lit(None).cast(entries.schema[k].dataType).alias(k) for k in keys]
+    asked = entries.agg(F.count("*").alias("_asked")).where("_asked > 0")
+    if failed is not None:
+        return asked.select(*none, F.lit(0).alias("field_no"), F.format_string(CHECK_FAILED, "_asked", F.lit(failed)).alias("warning"))
+    counts = asked.join(verdicts.agg(F.count("*").alias("_got")))
+    odd = counts.where("_asked <> _got").select(*none, F.lit(0).alias("field_no"), F.format_string(CHECK_RETURNED, "_got", "_asked").alias("warning"))
+    fields = F.transform(checks.implausible_fields("name_plausible", "address_plausible", gates.name, gates.address), lambda f: f)
+    found = entries.join(verdicts.select(*keys, "name_plausible", "address_plausible"), keys).select("*", F.posexplode(fields).alias("field_no", "field"))
+    is_name = F.col("field") == "name"
+    value = F.when(is_name, F.col("name")).otherwise(F.col("address"))
+    probability = F.when(is_name, F.col("name_plausible")).otherwise(F.col("address_plausible"))
+    gate = F.when(is_name, F.lit(gates.name)).otherwise(F.lit(gates.address))
+    text_of = F.format_string(IMPLAUSIBLE, entry_label(), "field", value, probability, gate, F.date_format("date", "dd/MM/yyyy"))
+    even = found.join(F.broadcast(counts.where("_asked = _got")))
+    return even.select(*keys, "field_no", text_of.alias("warning")).unionByName(odd)
 
 
 def request_payload(groups: DataFrame, keys: list[str]) -> DataFrame:

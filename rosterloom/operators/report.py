@@ -65,6 +65,12 @@ def stage_timings(runs: DataFrame, stages: list[str]) -> DataFrame:
     return long.groupBy("stage").agg(F.avg(F.floor(F.col("ns") / 1_000_000)).alias("mean_ms"))
 
 
+def token_usage(responses: DataFrame, keys: list[str], usage: str = "usage") -> DataFrame:
+    """Tokens read and written, summed over responses with a struct usage."""
+    total = lambda c: F.coalesce(F.sum(F.col(f"{usage}.{c}")), F.lit(0)).cast("long").alias(c)
+    return responses.groupBy(*keys).agg(F.count("*").alias("requests"), total("input_tokens"), total("output_tokens"))
+
+
 def decision_report(groups: DataFrame, key: str) -> DataFrame:
     """Judged pairs by key with the reference names involved."""
     return groups.groupBy(key).agg(F.array_sort(F.collect_set("ref_name")).alias("references"), F.array_sort(F.collect_list(F.struct("ref_name", "candidate", "outcome", "score"))).alias("pairs"))

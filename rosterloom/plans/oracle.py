@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from rosterloom.functions import checks, text
 from rosterloom.functions.dates import DAY_NAMES
+from rosterloom.plans import roster_oracle
+from rosterloom.plans.sql import digits_sql as _digits
+from rosterloom.plans.sql import latin_sql as _latin
+from rosterloom.plans.sql import quoted as _quoted
+from rosterloom.plans.sql import similar_sql as _similar
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-_FROM, _TO = text.CONFUSED, text.CONFUSED_DIGITS
 _UNIFORM = (
     _quoted(text.DASHES + text.SINGLE_QUOTES + text.DOUBLE_QUOTES + text.SPACES),
     _quoted("-" * len(text.DASHES) + "'" * len(text.SINGLE_QUOTES) + '"' * len(text.DOUBLE_QUOTES) + " " * len(text.SPACES)),
@@ -21,20 +21,6 @@ def _normalized(c: str) -> str:
     return f"trim(regexp_replace(translate(translate({c}, {_UNIFORM[0]}, {_UNIFORM[1]}), '{text.ACCENTED}', '{text.PLAIN}'), '[ \\t\\r\\n]+', ' ', 'g'), ' ')"
 
 
-def _digits(c: str) -> str:
-    return f"regexp_replace(translate({c}, '{_FROM}', '{_TO}'), '[^0-9]', '', 'g')"
-
-
-def _latin(c: str) -> str:
-    for greek, latin in (*text.DIGRAPHS, *text.LONG_LETTERS):
-        c = f"replace({c}, '{greek}', '{latin}')"
-    return f"translate({c}, '{text.LETTERS_GREEK}', '{text.LETTERS_LATIN}')"
-
-
-def _similar(a: str, b: str) -> str:
-    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 1 - levenshtein({a}, {b})::DOUBLE / greatest(strlen({a}), strlen({b})) END"
-
-
 def _case_by_day(c: str) -> str:
     return "CASE dayofweek(" + c + ") " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(DAY_NAMES)) + " END"
 
@@ -67,15 +53,6 @@ ORACLE_SQL: dict[str, str] = {
         scored AS (SELECT p_name, n, word, {_similar("a", "b")} AS s FROM pairs),
         best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY s DESC, word) = 1)
         SELECT p_name, n, word AS best_name, round(s, 6) AS best_score, CASE WHEN s >= 0.55 THEN 'match' WHEN s >= 0.3 THEN 'hint' ELSE 'none' END AS level FROM best""",
-    "catalog_fill_orders": """
-        SELECT o_orderkey, coalesce(upper(c_name), o_orderpriority) AS name, c_acctbal AS lat, coalesce(upper(c_name), o_orderpriority) <> o_orderpriority AS filled
-        FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
-    "unmatched_customers": """
-        SELECT c_custkey, CASE WHEN c_name <> '' THEN 'entry "' || c_name || '"' ELSE 'entry without phone or name' END AS label
-        FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
-    "multi_key_explode_join": """
-        SELECT token, min(p_partkey) AS first_part, count(DISTINCT p_partkey) AS n, max(p_partkey) AS last_part
-        FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part) GROUP BY token""",
     "band_first_match": """
         WITH v AS (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1)
         SELECT l_quantity, n, min(n_nationkey) AS band FROM v JOIN nation ON l_quantity BETWEEN n_nationkey * 2 - 0.5 AND n_nationkey * 2 + 3 + 0.5 GROUP BY 1, 2""",
@@ -134,9 +111,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT event_id, user_id, event_type FROM events
         QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)""",
     "serve_state": """
-        WITH p AS (SELECT user_id, event_id AS last FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+        WITH p AS (SELECT user_id, event_id AS last FROM events WHERE event_type = 'purchase' AND user_id % 3 > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
         SELECT CASE WHEN last IS NULL THEN 'miss' WHEN last = event_id THEN 'unchanged' ELSE 'hit' END AS status, count(*) AS n
-        FROM events LEFT JOIN p USING (user_id) WHERE event_type = 'view' GROUP BY 1""",
+        FROM events LEFT JOIN p USING (user_id) GROUP BY 1""",
     "single_flight_leaders": "SELECT user_id || '|' || event_type AS key, min(event_id) AS event_id FROM events GROUP BY 1",
     "decision_cache": """
         SELECT o_orderpriority || '|' || o_orderstatus AS key, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * length(o_orderpriority || '|' || o_orderstatus) AS verdict, count(*) AS n
@@ -161,9 +138,6 @@ ORACLE_SQL: dict[str, str] = {
         v AS (SELECT *, regexp_matches(phone, '^2[0-9]{{9}}$') AS valid FROM r)
         SELECT c_custkey, round((CASE WHEN valid THEN 0.35 ELSE 0 END + CASE WHEN greek THEN 0.30 ELSE 0 END + CASE WHEN street THEN 0.20 ELSE 0 END + 0.05 + CASE WHEN match THEN 0.10 ELSE 0 END)::DOUBLE, 4) AS score,
                concat_ws('; ', CASE WHEN NOT valid THEN '{checks.WARNINGS["phone"]}' END, CASE WHEN NOT greek THEN '{checks.WARNINGS["name"]}' END, CASE WHEN NOT street THEN '{checks.WARNINGS["address"]}' END) AS warnings FROM v""",
-    "last_wins_score": """
-        SELECT l_orderkey, l_extendedprice AS confidence, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
-        QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1""",
     "html_title_links": """
         WITH e AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h,
                    regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links, trim(regexp_replace(html, '<[^>]+>', ' ', 'g'), e' \\t\\n\\r') AS x FROM pages)
@@ -174,9 +148,6 @@ ORACLE_SQL: dict[str, str] = {
     "image_links": """
         SELECT page_id, 1 AS ord, 'https://x.org/wp-content/uploads/2026/08/' || lpad((page_id % 27 + 1)::VARCHAR, 2, '0') || '.08.2026-28.08.2026.jpg' AS url,
                '2026-08-' || lpad((page_id % 27 + 1)::VARCHAR, 2, '0') AS from_date, '2026-08-28' AS to_date FROM pages""",
-    "url_parts": """
-        SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host,
-               regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages""",
     "line_classifier": f"""
         WITH l AS (SELECT *, length(regexp_replace(up, '[^0-9]', '', 'g')) AS nd FROM ({_LINE}))
         SELECT lang, CASE
@@ -195,7 +166,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT user_id, hour, score FROM (SELECT user_id, hour(ts) AS hour, count(*) AS score FROM events GROUP BY 1, 2)
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, hour) = 1""",
     "argmax_embedding": "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings",
-    "tensor_normalize": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: (v::DOUBLE - 0.5) / 0.5)), 4) AS total, len(embedding) AS n FROM embeddings",
     "ctc_collapse": f"""
         WITH s AS (SELECT user_id, event_id, value, list_position([{_MARKS}], event_type) - 1 AS b FROM events),
         e AS (SELECT *, b <> 0 AND b <> coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS emit FROM s)
@@ -218,4 +188,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM nation GROUP BY 1""",
     "stream_single_flight": "SELECT DISTINCT user_id, event_type FROM events",
 }
+ORACLE_SQL["flagship"] = """
+    WITH c AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s,
+               max((event_type = 'signup')::INT) OVER (PARTITION BY user_id) AS marked FROM events),
+    d AS (SELECT *, greatest(s, 1) AS day_no FROM c WHERE marked = 1),
+    k AS (SELECT *, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, day_no ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k,
+          sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, day_no) AS t FROM d),
+    r AS (SELECT user_id, day_no, least(k, greatest(t - 1, 0)) AS entry_no, count(*) AS n, round(sum(value), 2) AS value FROM k GROUP BY ALL),
+    f AS (SELECT r.*, coalesce(c_name, '') AS name FROM r LEFT JOIN customer ON c_custkey = user_id),
+    v AS (SELECT *, CASE WHEN n > 1 THEN 0.35 ELSE 0 END + CASE WHEN name <> '' THEN 0.30 ELSE 0 END + CASE WHEN value > 0 THEN 0.20 ELSE 0 END + 0.05 AS score FROM f)
+    SELECT user_id, name, count(DISTINCT day_no) AS n_days, count(*) AS n_entries, sum(n)::BIGINT AS n_events, max(score)::DOUBLE AS best, arg_min(value, day_no * 1000000 + entry_no) AS first_value
+    FROM v GROUP BY 1, 2"""
+ORACLE_SQL |= roster_oracle.ORACLE_SQL
 ORACLE_SQL["stream_week_state"] = ORACLE_SQL["iso_week_state"]

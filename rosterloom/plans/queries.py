@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterloom.functions import checks, dates, text
 from rosterloom.operators import catalog as cat
 from rosterloom.operators import entries, geometry, judge, report, segment, state
+from rosterloom.plans import roster_queries
 from rosterloom.sources import html
 from rosterloom.streaming import run as streams
 from rosterloom.streaming import state as stream_state
@@ -61,28 +62,6 @@ def name_bands(spark, d):
     return found.select("p_name", "n", "best_name", F.round("best_score", 6).alias("best_score"), "level")
 
 
-@query
-def catalog_fill_orders(spark, d):
-    refs = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("ref_name"), F.col("c_acctbal").alias("lat"))
-    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("name"))
-    joined = rows.join(refs, "o_custkey", "left")
-    new = F.coalesce(text.upper_plain("ref_name"), F.col("name"))
-    return joined.select("o_orderkey", new.alias("name"), "lat", (new != F.col("name")).alias("filled"))
-
-
-@query
-def unmatched_customers(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", cat.entry_label(F.lit(""), F.col("c_name")).alias("label"))
-
-
-@query
-def multi_key_explode_join(spark, d):
-    part = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("token"))
-    tokens = part.groupBy("token").agg(F.min("p_partkey").alias("first_part"))
-    return part.join(tokens, "token").groupBy("token", "first_part").agg(F.count("*").alias("n"), F.max("p_partkey").alias("last_part"))
-
-
 def _bands(spark: SparkSession, d: str, step: int, width: int) -> DataFrame:
     low = F.col("n_nationkey") * step
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("band"), low.cast("double").alias("lo"), (low + width).cast("double").alias("hi"))
@@ -192,9 +171,10 @@ def change_only(spark, d):
 @query
 def serve_state(spark, d):
     events = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    puts = state.latest_by_key(events.where("event_type = 'purchase'"), ["user_id"], ["ts", "event_id"], ["event_id"])
+    # every third user was never put
+    puts = state.latest_by_key(events.where("event_type = 'purchase' AND user_id % 3 > 0"), ["user_id"], ["ts", "event_id"], ["event_id"])
     cached = state.entry(puts, ["event_id"], F.lit("2024-02-01").cast("date")).select("user_id", "sha")
-    asked = events.where("event_type = 'view'").select("event_id", "user_id", F.sha2(F.to_json(F.struct("event_id")), 256).alias("etag"))
+    asked = events.select("event_id", "user_id", F.sha2(F.to_json(F.struct("event_id")), 256).alias("etag"))
     return state.serve(asked, cached, "user_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -253,13 +233,6 @@ def validate_score(spark, d):
     return rows.select("c_custkey", F.round(score.cast("double"), 4).alias("score"), F.array_join(checks.field_warnings("phone", "name", "address"), "; ").alias("warnings"))
 
 
-@query
-def last_wins_score(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("phone"), "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("score"))
-    last = rows.groupBy("phone").agg(F.max_by("score", F.struct("l_linenumber", "l_partkey", "score")).alias("confidence"), F.count("*").alias("n"))
-    return last.select(F.col("phone").alias("l_orderkey"), "confidence", "n")
-
-
 @query
 def html_title_links(spark, d):
     pages = table(spark, d, "pages")
@@ -276,13 +249,6 @@ def image_links(spark, d):
     return html.schedule_images(pages).select("page_id", "ord", "url", shown("from_date"), shown("to_date"))
 
 
-@query
-def url_parts(spark, d):
-    part = lambda p, g: F.regexp_extract("url", p, g)
-    pattern = r"^(https?)://([^/?#]+)([^?#]*)"
-    return table(spark, d, "pages").select("page_id", part(pattern, 1).alias("scheme"), part(pattern, 2).alias("host"), part(pattern, 3).alias("path"), part(r"\?([^#]*)", 1).alias("query"))
-
-
 @query
 def line_classifier(spark, d):
     lines = table(spark, d, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
@@ -321,14 +287,8 @@ def argmax_grid(spark, d):
 
 @query
 def argmax_embedding(spark, d):
-    best = F.array_position("embedding", F.array_max("embedding")) - 1
-    return table(spark, d, "embeddings").select("vec_id", best.cast("long").alias("best"))
-
-
-@query
-def tensor_normalize(spark, d):
-    x = F.transform("embedding", lambda v: (v.cast("double") - 0.5) / 0.5)
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), 4).alias("total"), F.size(x).alias("n"))
+    points = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("point", "score"))
+    return report.argmax_over_grid(points, ["vec_id"], "point", "score", "point").select("vec_id", F.col("point").cast("long").alias("best"))
 
 
 @query
@@ -397,7 +357,7 @@ def stream_single_flight(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user cut by anchors and terminators, filled from the
-    customers, scored, and nested to one row per user."""
+    customers, scored, nested to one row per user, and summed up."""
     events = table(spark, d, "events")
     days = segment.days_from_anchors(events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
     cut = segment.split_by_terminator(days, ["user_id", "day_no"], ["ts", "event_id"], F.col("event_type") == "purchase")
@@ -405,7 +365,12 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
     filled = rows.join(people, "user_id", "left").withColumn("name", F.coalesce("name", F.lit("")))
     scored = filled.withColumn("score", checks.score(F.col("n") > 1, F.col("name") != "", F.col("value") > 0, F.lit(False)).cast("double"))
-    return entries.nest(scored, [(["user_id", "name", "day_no"], ["entry_no", "n", "value", "score"], "entries"), (["user_id", "name"], ["day_no", "entries"], "days")])
+    nested = entries.nest(scored, [(["user_id", "name", "day_no"], ["entry_no", "n", "value", "score"], "entries"), (["user_id", "name"], ["day_no", "entries"], "days")])
+    every = F.flatten("days.entries")
+    total = F.aggregate(every, F.lit(0).cast("long"), lambda done, e: done + e["n"])
+    best = F.array_max(F.transform(every, lambda e: e["score"]))
+    return nested.select("user_id", "name", F.size("days").alias("n_days"), F.size(every).alias("n_entries"), total.alias("n_events"), F.round(best, 4).alias("best"), F.col("days")[0]["entries"][0]["value"].alias("first_value"))
 
 
 QUERIES["flagship"] = flagship
+QUERIES |= roster_queries.QUERIES

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rosterloom.operators.judge import latest_decisions
 from rosterloom.schema import CATALOG, DECISIONS, GOLDEN
 
 MAX_BYTES = 32 << 20
@@ -69,11 +70,11 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """A decision table. A missing path is an empty table; a wrong version is an error."""
+    """A decision table, one row per key: the last one put. A missing path is an empty table; a wrong version is an error."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], DECISIONS)
     rows = spark.read.schema(DECISIONS + ", version INT").parquet(path)
     checked = F.when(F.col("version") == VERSION, F.col("key")).otherwise(F.raise_error(F.concat(F.lit("decision table version "), F.coalesce(F.col("version").cast("string"), F.lit("none")))))
-    return rows.withColumn("key", checked).drop("version")
+    return latest_decisions(rows.withColumn("key", checked).drop("version"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.operators.judge import latest_decisions
 from rosterloom.operators.report import require
 from rosterloom.sources.files import VERSION
 
@@ -44,6 +45,12 @@ def write_checked(df: DataFrame, path: str, source: str, **must_not: Column) ->
     df.write.mode("error").json(path)
 
 
-def append_decisions(df: DataFrame, path: str) -> None:
-    """New decisions as one committed job; readers see all of it or none."""
+def put_decisions(df: DataFrame, path: str) -> None:
+    """Puts decisions by key as one committed job; readers see all of it or none,
+    and of each key the last put (see read_decisions)."""
     df.withColumn("version", F.lit(VERSION)).write.mode("append").parquet(path)
+
+
+def compact_decisions(decisions: DataFrame, path: str) -> None:
+    """Writes the last put of each key to a new path."""
+    latest_decisions(decisions).withColumn("version", F.lit(VERSION)).write.mode("error").parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterloom import schema
-from rosterloom.functions import checks, raster
+from rosterloom.functions import checks, dates, raster
 from rosterloom.operators import catalog as cat
 from rosterloom.operators import entries, geometry, judge, report, segment, state
 from rosterloom.plans import roster
@@ -134,8 +134,13 @@ def test_judged_picks(spark):
         bad = decide(choice, confidence, same)
         assert (bad.ref_no, bad.judged) == (4, False) and bad.warning.endswith("kept the similarity pick")
     assert decide("c0", 0.9, 0.9).warning is None
-    failed = judge.judged_picks(groups, spark.createDataFrame([], "k int, choice string, confidence double, same double"), picks, ["k"], judge.Gates()).first()
-    assert "adjudication failed" in failed.warning
+    verdicts = "k int, choice string, confidence double, same double"
+    none = judge.judged_picks(groups, spark.createDataFrame([], verdicts), picks, ["k"], judge.Gates()).first()
+    assert (none.ref_no, none.warning) == (4, "phone 2831055212 matches several catalog entries and identity adjudication returned 0 verdicts; kept the similarity pick")
+    two = judge.judged_picks(groups, spark.createDataFrame([(0, "c1", 0.9, 0.9)] * 2, verdicts), picks, ["k"], judge.Gates()).first()
+    assert "returned 2 verdicts" in two.warning
+    failed = judge.judged_picks(groups, spark.createDataFrame([(0, None, None, None, "timeout")], verdicts + ", error string"), picks, ["k"], judge.Gates()).first()
+    assert "identity adjudication failed (timeout)" in failed.warning
     assert judge.rule_judge(groups, ["k"]).first().choice == "c1"
     assert '"candidates":[{"id":"c0"' in judge.request_payload(groups, ["k"]).first().payload
 
@@ -161,10 +166,76 @@ def test_replay_and_choices(spark):
 def test_plausibility(spark):
     rows = entry_rows(spark, [("A", "", "1"), ("B", "", "")])
     verdicts = spark.createDataFrame([(0, 0.1, 0.9), (1, 0.9, 0.2)], "k int, name_plausible double, address_plausible double")
+    rows = rows.withColumn("date", F.lit("2026-08-10").cast("date"))
     got = {r.k: r.warning for r in judge.plausibility_warnings(rows, verdicts, ["k"], judge.Gates()).collect()}
-    assert got == {0: "phone 1: implausible name", 1: 'entry "B": implausible address'}
-    assert judge.plausibility_warnings(rows, verdicts.limit(1), ["k"], judge.Gates()).count() == 1
-    assert judge.plausibility_warnings(rows, verdicts, ["k"], judge.Gates(), failed=True).count() == 1
+    assert got == {
+        0: 'phone 1 is not in the catalog; name "A" reads implausibly (plausibility 0.10 below 0.50) on 10/08/2026',
+        1: 'entry "B" is not in the catalog; address "" reads implausibly (plausibility 0.20 below 0.70) on 10/08/2026',
+    }
+    odd = judge.plausibility_warnings(rows, verdicts.limit(1), ["k"], judge.Gates()).collect()
+    assert [(r.k, r.warning) for r in odd] == [(None, "plausibility verification returned 1 verdicts for 2 unmatched entries; skipped")]
+    failed = judge.plausibility_warnings(rows, verdicts, ["k"], judge.Gates(), failed="timeout").collect()
+    assert [r.warning for r in failed] == ["plausibility verification failed for 2 unmatched pharmacy entries (timeout); the entries are unchanged"]
+    assert judge.plausibility_warnings(rows.limit(0), verdicts.limit(0), ["k"], judge.Gates(), failed="x").count() == 0
+    assert {(r.k, r.field) for r in judge.plausibility_questions(rows, ["k"]).collect()} == {(0, "name"), (1, "name")}
+
+
+def test_last_put_wins(spark):
+    puts = spark.createDataFrame([("a", 1, "2026-01-02"), ("a", 2, "2026-01-03"), ("a", 3, "2026-01-01"), ("b", 4, None)], "key string, v int, decided_at string")
+    assert {(r.key, r.v) for r in judge.latest_decisions(puts).collect()} == {("a", 2), ("b", 4)}
+    assert {(r.key, r.v) for r in judge.latest_decisions(puts.drop("decided_at")).collect()} == {("a", 3), ("b", 4)}
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_blocks_give_the_same(spark, block):
+    values = spark.range(60).select(F.col("id").alias("v"), (F.col("id") * 1.5).alias("x"))
+    bands = spark.range(30).select(F.col("id").alias("o"), (F.col("id") * 3.0).alias("lo"), (F.col("id") * 3.0 + 4).alias("hi"))
+    near = {r.v: (r.distance, r.o) for r in geometry.band_nearest(values, bands, "v", "x", "lo", "hi", "o", block).collect()}
+    assert near == {v: min((abs(v * 1.5 - 3 * o) + abs(v * 1.5 - 3 * o - 4), o) for o in range(30)) for v in range(60)}
+    pick = {r.v: r.o for r in state.interval_pick(values, bands, "v", "x", "lo", "hi", "o", block).collect()}
+    assert pick == {v: min((o for o in range(30) if 3 * o <= v * 1.5 <= 3 * o + 4), default=29) for v in range(60)}
+    assert {r.o for r in state.interval_pick(values, bands.limit(0), "v", "x", "lo", "hi", "o", block).collect()} == {None}
+    names = spark.createDataFrame([(n,) for n in ("ΜΑΡΙΑ", "ΜΑΡΙΟΣ", "ΕΛΕΝΗ", "ΕΛΕΝΑ", "ΓΙΩΡΓΟΣ", "ΝΙΚΟΣ", "ΝΙΚΗ", "ΑΝΝΑ", "ΜΑΡΙΝΑ")], "n string")
+    best = {r._name: r.best_name for r in cat.most_similar(names, "n", names, "n", lambda a, b: F.when(a != b, 1 - F.levenshtein(a, b) / 10), block).collect()}
+    assert (best["ΜΑΡΙΑ"], best["ΕΛΕΝΗ"], best["ΝΙΚΟΣ"]) == ("ΜΑΡΙΝΑ", "ΕΛΕΝΑ", "ΝΙΚΗ")
+
+
+def test_warnings_in_order(spark):
+    odd = [(100, 20, "10/08/2026"), (130, 20, "08:00-29:00"), (160, 20, "ΓΕΩΡΓΙΟΥ ΑΝΝΑ"), (190, 20, "ΠΛΑΤΕΙΑ"), (220, 20, "ΤΗΛ. 28310 99999")]
+    checked, notes = roster.linked(lines(spark, odd), columns(spark), catalog(spark), None, judge.Gates())
+    assert checked.count() == 1
+    judged = lambda asked: asked.select(*roster.ENTRY, F.lit(0.9).alias("name_plausible"), F.lit(0.1).alias("address_plausible"))
+    found = roster.warnings_of(checked, notes, catalog(spark), judged).first().warnings
+    assert found[0] == "invalid shift times 08:00-29:00 on 10/08/2026" and found[-1].startswith("phone 2831099999 is not in the catalog; address")
+    assert any(w.startswith("phone not found") or w.startswith("no catalog match") for w in found[1:-1])
+    assert '"days"' in roster.parse_json(lines(spark, odd), columns(spark), catalog(spark)).first().json
+
+
+def test_recognisers(spark):
+    cols = spark.createDataFrame([("d", 0, 100, 50, 200, 500), ("d", 1, 300, 50, 400, 500)], schema.PAGE_COLUMNS)
+    images = spark.createDataFrame([("d", (bytearray(4), 2, 2))], schema.IMAGES.replace("image_id", "doc_id"))
+
+    class Whole:
+        def recognise(self, some):
+            return spark.createDataFrame([("d", 0, 0, "in", 0.9, 110, 60, 120, 70), ("d", 0, 1, "out", 0.9, 0, 900, 5, 910)], schema.OCR_LINES)
+
+    class ByColumn(Whole):
+        def recognise_columns(self, some):
+            return some.select("doc_id", "col_index", F.lit(0).alias("line_no"), F.concat(F.lit("t"), "col_index").alias("text"), F.lit(0.5).cast("float").alias("confidence"), *(F.lit(v).alias(c) for c, v in (("x0", 1), ("y0", 2), ("x1", 3), ("y1", 4))))
+
+    assert [r.text for r in roster.read_lines(images, cols, Whole()).collect()] == ["in"]
+    got = roster.read_lines(images, cols, ByColumn()).orderBy("line_no").collect()
+    assert [(r.line_no, r.text, r.x0, r.y0) for r in got] == [(0, "t0", 101, 52), (1, "t1", 301, 52)]
+
+
+def test_small_additions(spark):
+    row = spark.range(1).select(dates.week_label(F.array(F.lit("2026-08-10").cast("date"))).alias("w"), dates.week_label(F.array().cast("array<date>")).alias("n")).first()
+    assert tuple(row) == ("10/08/2026..16/08/2026", "no days parsed")
+    marks = spark.createDataFrame([(t,) for t in ("", "-", "Привет", "中文", "Ω", "x", "7", "½")], "t string").select("t", checks.is_junk("t").alias("j"))
+    assert {r.t for r in marks.collect() if r.j} == {"", "-", "Привет", "中文", "½"}
+    a = np.arange(36, dtype=np.uint8).reshape(6, 6, 1)
+    assert raster.resize_area(a, 3, 3)[:, :, 0].tolist() == [[3, 5, 7], [15, 17, 19], [27, 29, 31]]
+    assert raster.resize_area(a, 4, 4)[0, 0, 0] == 0 and raster.crop(a, -2, 4, 3, 99).shape == (2, 3, 1)
 
 
 def test_state(spark):
@@ -219,7 +290,7 @@ def test_files_and_sinks(spark, tmp_path):
     assert files.read_folder(spark, str(tmp_path)).count() == 2
     empty = files.read_decisions(spark, str(tmp_path / "none"))
     assert empty.count() == 0
-    sinks.append_decisions(spark.createDataFrame([("k", 1)], "key string, choice_index int").select("key", "choice_index", *(F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields[2:])), str(tmp_path / "dec"))
+    sinks.put_decisions(spark.createDataFrame([("k", 1)], "key string, choice_index int").select("key", "choice_index", *(F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields[2:])), str(tmp_path / "dec"))
     assert files.read_decisions(spark, str(tmp_path / "dec")).first().key == "k"
     one = sinks.as_json(spark.createDataFrame([("x", "")], "a string, b string").withColumn("b", sinks.omit_empty("b", "string")), ["a", "b"]).first().json
     assert '"a"' in one and '"b"' not in one
