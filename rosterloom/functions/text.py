@@ -31,6 +31,8 @@ DIGRAPHS = (("ΑΥ", "AV"), ("ΕΥ", "EV"), ("ΟΥ", "OU"), ("ΤΖ", "TZ"), ("Γ
 LONG_LETTERS = (("Θ", "TH"), ("Ξ", "KS"), ("Χ", "CH"), ("Ψ", "PS"))
 LETTERS_GREEK = "ΑΒΓΔΕΖΗΙΚΛΜΝΟΠΡΣΤΥΦΩ"
 LETTERS_LATIN = "AVGDEZIIKLMNOPRSTYFO"
+#: A private sign.
+ASIDE = "\ue000"
 #: All white space, as code points: controls, blanks, and the separators of Unicode.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 TRIM_SIGNS = r""".,;\-—|/"' """
@@ -79,9 +81,8 @@ def strip_accents(c: Column | str) -> Column:
 
 def upper_plain(c: Column | str) -> Column:
     """Upper case, one sign for one: sharp s stays, as it has no single capital."""
-    x = _col(c)
-    # a lambda leaves generated code, so only lines with a sharp s go there
-    return F.when(x.contains("ß"), F.array_join(F.transform(F.split(x, "ß", -1), F.upper), "ß")).otherwise(F.upper(x))
+    # it is put aside as a sign without cases; the argument occurs once, since these nest
+    return F.translate(F.upper(F.translate(_col(c), "ß", ASIDE)), ASIDE, "ß")
 
 
 def normalize_text(c: Column | str, compose: bool = False) -> Column:

@@ -53,10 +53,11 @@ def read_lines(images: DataFrame, columns: DataFrame, recogniser: Recogniser) ->
 
 def linked(lines: DataFrame, columns: DataFrame, catalog: DataFrame, identity: Callable[[DataFrame], DataFrame] | None, gates: judge.Gates) -> tuple[DataFrame, DataFrame]:
     """Distinct entries filled from the catalog and validated, and the warnings of
-    the fill: ENTRY, warning."""
-    found = ent.distinct_entries(entries_of(lines, columns), SHIFT, ["entry_no"])
+    the fill: ENTRY, warning. Entries and results are persisted (they spill to
+    disk), because linking and warnings read them several times."""
+    found = ent.distinct_entries(entries_of(lines, columns), SHIFT, ["entry_no"]).persist()
     pairs = cat.candidates(found.select(*ENTRY, "name", "address", "phone"), catalog, ENTRY)
-    picks = cat.pick_reference(pairs, ENTRY)
+    picks = cat.pick_reference(pairs, ENTRY).persist()
     chosen = picks
     notes = found.select(*ENTRY, F.lit(None).cast("string").alias("warning")).where("false")
     if identity is not None:
@@ -65,8 +66,8 @@ def linked(lines: DataFrame, columns: DataFrame, catalog: DataFrame, identity: C
         better = pairs.join(decided.select(*ENTRY, "ref_no"), [*ENTRY, "ref_no"], "left_semi")
         chosen = picks.join(decided.select(*ENTRY), ENTRY, "left_anti").drop("score").unionByName(better.select(*(c for c in picks.columns if c != "score")))
         notes = decided.where("warning is not null").select(*ENTRY, "warning")
-    filled = cat.fill(found, chosen, ENTRY).drop("ref_no")
-    return cat.validate(filled, catalog, ENTRY, chosen.select(*ENTRY, "ref_no")), notes
+    filled = cat.fill(found, chosen, ENTRY).drop("ref_no").persist()
+    return cat.validate(filled, catalog, ENTRY, chosen.select(*ENTRY, "ref_no")).persist(), notes
 
 
 def parse(lines: DataFrame, columns: DataFrame, catalog: DataFrame, identity: Callable[[DataFrame], DataFrame] | None = None, gates: judge.Gates | None = None) -> DataFrame:

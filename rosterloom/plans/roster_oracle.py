@@ -70,7 +70,6 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN ref_no IS NULL THEN note ELSE '' END AS discrepancy, '' AS warnings, CASE WHEN ref_no IS NULL THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS score FROM a
         UNION ALL
         SELECT k::VARCHAR, strftime(date, '%Y-%m-%d'), {_DAYS}, 1, '21:00', '08:00', 0, {_B}, 'ΟΔΟΣ ' || (k % 5 + 1)::VARCHAR, '', false, NULL, '', '', 0.55::DOUBLE FROM q""",
-    "roster_nested": f"WITH {_A} SELECT k::VARCHAR AS doc_id, 1 AS n_days, 2 AS n_shifts, '08:00' AS from_time, {_B} AS second FROM q0",
     "roster_warnings": f"""
         WITH {_CATALOG}, {_A}, {_FORMS}, {_CLOSEST}
         SELECT k::VARCHAR AS doc_id, concat_ws(' | ',

@@ -89,14 +89,6 @@ def roster_parse(spark, d):
     return _shown(roster.parse(*planted_pages(spark, d), planted_catalog(spark, d)))
 
 
-@query
-def roster_nested(spark, d):
-    """The same as one nested row per page."""
-    days = roster.nested(roster.parse(*planted_pages(spark, d), planted_catalog(spark, d)))
-    shift = F.col("days")[0]["shifts"]
-    return days.select("doc_id", F.size("days").alias("n_days"), F.size(shift).alias("n_shifts"), shift[0]["from_time"].alias("from_time"), shift[1]["entries"][0]["name"].alias("second"))
-
-
 @query
 def roster_warnings(spark, d):
     """The warnings of a parse in fixed order, with an offline judge of names."""
