@@ -7,7 +7,10 @@ yields the lowest rank, the bucket its leftmost position; an entry whose pair
 has changed meanwhile is stale and skipped. So a pre-token of n bytes takes
 O(n log n) steps at worst, whatever its length.
 
-Nulls encode as the empty text. Ids decode to exactly the bytes encoded.
+Nulls encode as the empty text; a text is encoded whole, however long. Ids decode
+to exactly the bytes encoded. Equal rows, and rows of equal or null id, give a row
+each; an empty table gives an empty one. Extra columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ length form a bucket from which batches are drawn. No sequence crosses
 documents and none needs padding. The cut is made where the text is read, so
 packing needs no shuffle, and the largest row is one sequence.
 
-Null and empty texts are the closing id alone. Equal rows are packed each.
+Null and empty texts are the closing id alone; a text is encoded whole, however
+long. Equal rows, and rows of equal or null id, are packed each. An empty table
+gives an empty one. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

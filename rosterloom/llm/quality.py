@@ -14,8 +14,9 @@ are counted by step, so what the driver reads does not grow with the rows.
 
 Words are runs of bytes other than space and \\t \\n \\v \\f \\r. Null texts have
 no words. A text without words scores 0 and fails the base rule. Without labels,
-only the base rule decides. Equal rows give a row each; extra columns are not
-read.
+only the base rule decides. Equal rows give a row each, an empty table an empty
+one; a text is read whole, however long. Extra columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ lower-cased words (letters and digits) and digested to 128 bits. Digests are
 grouped over all documents: the occurrence with the least (id, start) stays, the
 others are repeats. A line that repeats as a whole is removed whatever its
 length. Sentences within a line are removed in passages: neighbouring repeats of
-a document, of at least ``min_words`` words together; by default every one.
+a document, of at least ``min_words`` words together, since short sentences of
+prose meet by chance; 1 removes every one.
 Sentences of fewer than ``unit_words`` words are not compared; they go with a
 passage or line that encloses them. Offsets are those in the original text.
 
@@ -154,7 +155,7 @@ def _passages(df: DataFrame, scratch: Scratch, min_words: int, unit_words: int,
     )
 
 
-def find_repeats(df: DataFrame, scratch: Scratch, min_words: int = 1, unit_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(df: DataFrame, scratch: Scratch, min_words: int = 10, unit_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage or line to remove: id_col, start, end, n_words and
     n_units (compared in the passage; a line alone is one unit), first_doc and
     first_start (where its first unit stays). Rows do not overlap."""
@@ -166,7 +167,7 @@ def find_repeats(df: DataFrame, scratch: Scratch, min_words: int = 1, unit_words
     )
 
 
-def drop_repeats(df: DataFrame, scratch: Scratch, min_words: int = 1, unit_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(df: DataFrame, scratch: Scratch, min_words: int = 10, unit_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with repeated passages cut from the text; other columns as they are."""
     found = _passages(df, scratch, min_words, unit_words, id_col, text_col)
     mark = F.struct("start", "end", F.lit("").alias("mark"))

@@ -8,8 +8,9 @@ Tokens that embed a checksum (a fixed prefix, a random part in base 62, and the
 CRC-32 of that part as six base-62 digits) are reported as ``checksum`` only
 when the checksum is right.
 
-Spans are in code points, end exclusive. Null and empty texts have none. Equal
-rows give equal results, and extra columns are not read.
+Spans are in code points, end exclusive. Null and empty texts have none; a text is
+scanned whole, however long. Equal rows give equal results, an empty table an
+empty one. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

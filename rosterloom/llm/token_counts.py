@@ -7,8 +7,9 @@ bytes, the earlier one on ties; a token with no byte in any section is counted
 apart, as section -1. So the counts of a document always add up to its tokens.
 
 Sections are the lines of a text, or given as spans. Null and empty texts have
-no tokens and no lines, only the row of section -1. Equal rows are counted each;
-extra columns are not read.
+no tokens and no lines, only the row of section -1; a text is encoded whole,
+however long. Equal rows are counted each, an empty table gives an empty one.
+Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

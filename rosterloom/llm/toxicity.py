@@ -13,9 +13,10 @@ more. Copies of one text would otherwise pass for independent evidence, so rows
 sharing the least hash of their rare words share one unit of weight. Weights are
 kept sparse by an L1 penalty.
 
-Null and empty texts have no words and get the grade of no evidence. Without
-labels, or without toxic ones, every document is kept at severity 0. Equal rows
-get equal results; extra columns are not read.
+Null and empty texts have no words and get the grade of no evidence; a text is
+read whole, however long. Without labels, or without toxic ones, every document
+is kept at severity 0. An empty table gives an empty one. Equal rows get equal
+results; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
