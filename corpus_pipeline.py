@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
 columns of documents; texts that a stage changes get their n_chars anew.
+
+Null and empty texts pass every stage and end as the closing id alone; equal rows
+leave one, the least id; rows without an id are never taken for copies. An empty
+table gives an empty one, and extra columns are passed through to the last stage.
+Texts are read whole, however long.
 """
 
 from __future__ import annotations
