@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from rosterloom.operators import catalog as cat
-from rosterloom.operators import judge
 from rosterloom.plans.roster_queries import DIGITS, GREEK, NUMBERS
 from rosterloom.plans.sql import latin_sql as latin
 from rosterloom.plans.sql import plain_upper_sql as plain_upper
@@ -70,14 +69,6 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN ref_no IS NULL THEN note ELSE '' END AS discrepancy, '' AS warnings, CASE WHEN ref_no IS NULL THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS score FROM a
         UNION ALL
         SELECT k::VARCHAR, strftime(date, '%Y-%m-%d'), {_DAYS}, 1, '21:00', '08:00', 0, {_B}, 'ΟΔΟΣ ' || (k % 5 + 1)::VARCHAR, '', false, NULL, '', '', 0.55::DOUBLE FROM q""",
-    "roster_warnings": f"""
-        WITH {_CATALOG}, {_A}, {_FORMS}, {_CLOSEST}
-        SELECT k::VARCHAR AS doc_id, concat_ws(' | ',
-            CASE WHEN number = 3 AND k % 9 = 3 THEN {_filled(judge.OVERRIDE, "phone", "'Μαρία ΑΑΑΕ'", "'Μαρία ΑΑΑΔ'")}
-                 WHEN number = 3 AND k % 9 NOT IN (2, 4) THEN {_filled(judge.BELOW.replace("%.2f", "0.86", 1).replace("%.2f", "0.71", 1), "phone")} END,
-            CASE WHEN near IS NOT NULL THEN {_CLOSEST_NOTE} END,
-            'entry "' || {_B} || '" is not in the catalog; name "' || {_B} || '" reads implausibly (plausibility 0.25 below 0.50) on ' || strftime(date, '%d/%m/%Y')) AS warnings
-        FROM q LEFT JOIN m ON q.name = m.name AND phone NOT IN (SELECT ref_phone FROM r)""",
     "validate_catalog": f"""
         WITH {_CATALOG}, {_READINGS}, {_FORMS}, {_pick(False)}, {_CLOSEST},
         j AS (SELECT q.*, p.ref_no, p.ref_name, near, cat_no, CASE

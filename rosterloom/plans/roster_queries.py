@@ -89,17 +89,6 @@ def roster_parse(spark, d):
     return _shown(roster.parse(*planted_pages(spark, d), planted_catalog(spark, d)))
 
 
-@query
-def roster_warnings(spark, d):
-    """The warnings of a parse in fixed order, with an offline judge of names."""
-    lines, columns = planted_pages(spark, d)
-    catalog, gates = planted_catalog(spark, d), judge.Gates()
-    checked, notes = roster.linked(lines, columns, catalog, lambda groups: judge.rule_judge(groups, roster.ENTRY), gates)
-    odd = F.when(F.col("name").startswith("ΓΕΩΡΓΙΑ"), 0.25).otherwise(0.75)
-    found = roster.warnings_of(checked, notes, catalog, lambda asked: asked.select(*roster.ENTRY, odd.alias("name_plausible"), F.lit(0.9).alias("address_plausible")), gates)
-    return found.select("doc_id", F.array_join("warnings", " | ").alias("warnings"))
-
-
 def _readings(spark: SparkSession, d: str) -> DataFrame:
     """A reading per customer: a known number with its name or with another one, an unknown number, or none."""
     key = F.col("c_custkey")
