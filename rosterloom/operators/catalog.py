@@ -47,13 +47,21 @@ def top1(df: DataFrame, keys: list[str], score: Column, ties: list[Column | str]
     return scored.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn", "_n")
 
 
+def _plain(c: Column) -> Column:
+    return text.upper_plain(text.trim_space(c))
+
+
 def pick_reference(pairs: DataFrame, keys: list[str], spaced: bool = True) -> DataFrame:
     """One reference per entry by name and address similarity; ties go to the
     smaller name, then to the earlier row."""
-    name_score = text.name_similarity_spaced if spaced else text.name_similarity_squeezed
-    names = name_score(F.col("name"), F.col("ref_name"))
-    addresses = text.similarity(text.transliterate(text.normalize_text("address")), text.transliterate(text.normalize_text("ref_address")))
-    return top1(pairs, keys, F.greatest(names, addresses), ["ref_name", "ref_no"])
+    form = text.normalize_text if spaced else text.name_key
+    # a similarity names its arguments several times, so they are columns of their own
+    forms = {f"_{c}": form(c) for c in ("name", "ref_name")}
+    forms |= {f"_{c}": text.transliterate(text.normalize_text(c)) for c in ("address", "ref_address")}
+    formed = pairs.withColumns({k: _plain(c) for k, c in forms.items()})
+    formed = formed.withColumns({f"{c}_latin": _plain(text.transliterate(c)) for c in ("_name", "_ref_name")})
+    near = [text.similarity_prepared(F.col(a), F.col(b)) for a, b in (("_name_latin", "_ref_name_latin"), ("_name", "_ref_name"), ("_address", "_ref_address"))]
+    return top1(formed, keys, F.greatest(*near), ["ref_name", "ref_no"]).drop(*forms, "_name_latin", "_ref_name_latin")
 
 
 def most_similar(names: DataFrame, name: str, others: DataFrame, other: str, score: Callable[[Column, Column], Column], block: int = BLOCK_ITEMS) -> DataFrame:
@@ -125,7 +133,8 @@ def validate(entries: DataFrame, catalog: DataFrame, keys: list[str], picks: Dat
     near = fuzzy_best(lost, names, keys[0], "name", "cat_name").join(names.withColumnRenamed("cat_name", "best_name"), "best_name", "left")
     joined = joined.join(near.select(*keys, "best_name", "best_score", "level", "cat_phone", "cat_no"), keys, "left")
     by_number = F.col("ref_no").isNotNull()
-    mismatch = text.similarity(text.transliterate("name"), text.transliterate("ref_name")) < NAME_MISMATCH
+    joined = joined.withColumns({f"_{c}": _plain(text.transliterate(c)) for c in ("name", "ref_name")})
+    mismatch = text.similarity_prepared(F.col("_name"), F.col("_ref_name")) < NAME_MISMATCH
     note = (
         F.when(by_number & mismatch & (F.col("name") != ""), F.format_string(NOTE_MISMATCH, "name", "ref_name"))
         .when(F.col("level") == "match", F.format_string(NOTE_CLOSEST, "name", "best_name", "cat_phone"))
@@ -146,7 +155,7 @@ def validate(entries: DataFrame, catalog: DataFrame, keys: list[str], picks: Dat
         }
     )
     clean = F.col("match_no").isNotNull() & (F.col("discrepancy") == "")
-    return out.withColumn("score", checks.score(F.col("phone_valid"), F.col("name_greek"), F.col("address_ok"), clean)).drop("ref_no", "ref_name", "ref_phone", "best_name", "best_score", "level", "cat_phone", "cat_no", "_digits")
+    return out.withColumn("score", checks.score(F.col("phone_valid"), F.col("name_greek"), F.col("address_ok"), clean)).drop("ref_no", "ref_name", "ref_phone", "best_name", "best_score", "level", "cat_phone", "cat_no", "_digits", "_name", "_ref_name")
 
 
 def shift_time_warnings(shifts: DataFrame) -> DataFrame:
