@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +15,9 @@ from rosterloom.functions.text import count_digits, digits_only, trim_space, upp
 STOP_WORDS = ("ΤΗΛ", "ΤΗΛ.", "ΤΗΛ/", "THL", "THL.", "ΦΑΡΜΑΚΕΙΟ", "ΕΦΗΜΕΡΙΕΣ")
 DESCRIPTION_PREFIXES = ("ΕΝΑΝΤΙ", "ΑΠΕΝΑΝΤΙ", "ΚΑΤΩ", "ΠΛΗΣΙΟΝ", "ΑΠΕΝΑΝΤΙΑ", "ΔΙΠΛΑ", "ΣΩΜΑΤΕΙΟ", "ΣΩΜΑ", "ΕΝΑΝΤΙΑ", "ΠΕΡΙΟΧΗ")
 ADDRESS_WORDS = ("ΟΔΟΣ", "ΣΤΡ", "ΛΕΩΦ", "ΠΛΑΤΕΙΑ", "ΠΛ.", "ΟΔ", "STR", "STREET")
-STREET = r"(?iu)(str\.?|street|οδος|οδ|στρ\.?|λεωφ\.?|πλ\.?|πλατει)"
-PHONE_WORD = r"(?iu)(τηλ|thl)"
+#: Upper case; every longer street word holds one of these.
+STREET_STEMS = ("STR", "ΟΔ", "ΣΤΡ", "ΛΕΩΦ", "ΠΛ")
+PHONE_WORDS = ("ΤΗΛ", "THL")
 GREEK_IN_LINE = r"[Α-Ωα-ωάέήίόύώΐΰ]"
 READABLE = r"[Α-Ωα-ωάέήίόύώΐΰA-Za-z0-9]"
 GREEK_IN_NAME = r"[Α-Ωα-ωάέήίόύώ]"
@@ -34,9 +38,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _holds(upper: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, (upper.contains(w) for w in words))
+
+
 def _phone(upper: Column) -> Column:
     n = count_digits(upper)
-    return (upper.rlike(PHONE_WORD) & (F.char_length(digits_only(upper)) >= 6)) | ((n >= 6) & (n / F.greatest(F.char_length(upper), F.lit(1)) > 0.5))
+    return (_holds(upper, PHONE_WORDS) & (F.char_length(digits_only(upper)) >= 6)) | ((n >= 6) & (n / F.greatest(F.char_length(upper), F.lit(1)) > 0.5))
 
 
 def _name(x: Column, upper: Column) -> Column:
@@ -46,6 +54,10 @@ def _name(x: Column, upper: Column) -> Column:
     return x.rlike(GREEK_IN_LINE) & ~x.rlike("[0-9]") & (F.char_length(upper) >= 3) & ~upper.isin(*STOP_WORDS) & ~described
 
 
+def _address(x: Column, upper: Column) -> Column:
+    return _holds(upper, STREET_STEMS) | (x.rlike("[0-9]") & (F.char_length(x) > 6) & ~x.rlike(GREEK_IN_LINE))
+
+
 def _junk(trimmed: Column) -> Column:
     return trimmed.isin("", "/", "-", ".") | ~trimmed.rlike(READABLE)
 
@@ -65,10 +77,7 @@ def is_phone_line(c: Column | str) -> Column:
 
 def looks_like_address(c: Column | str) -> Column:
     """A street word, or a number in a line that can be no Greek name."""
-    x = _col(c)
-    number = x.rlike("[0-9]")
-    latin_street = x.rlike("[a-zA-Z]") & F.contains(upper_plain(x), F.lit("STR"))
-    return x.rlike(STREET) | (number & latin_street) | (number & (F.char_length(x) > 6) & ~x.rlike(GREEK_IN_LINE))
+    return _address(_col(c), upper_plain(c))
 
 
 def looks_like_name(c: Column | str) -> Column:
@@ -108,7 +117,7 @@ def _kind(x: Column, trimmed: Column, upper: Column) -> Column:
         F.when(_phone(upper), "phone")
         .when(_junk(trimmed), "skip")
         .when(has_time_or_date(x) | trimmed.rlike(DATE_LINE) | upper.isin(*DAY_NAMES), "skip")
-        .when(looks_like_address(x), "address")
+        .when(_address(x, upper), "address")
         .when(_name(x, upper), "name")
         .when(x.rlike("[0-9]"), "address")
         .otherwise("name")
