@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import checks, text
 from rosterloom.operators.geometry import BLOCK_ITEMS, against_blocks
+from rosterloom.scratch import Scratch
 
 # --- fixed values ---------------------------------------------------------
 FUZZY_MATCH, FUZZY_HINT, NAME_MISMATCH = 0.55, 0.30, 0.45
@@ -116,9 +117,10 @@ def entry_label(phone: Column | str = "phone", name: Column | str = "name") -> C
     return F.when(phone != "", F.format_string(LABEL_PHONE, phone)).when(name != "", F.format_string(LABEL_ENTRY, name)).otherwise(LABEL_NONE)
 
 
-def validate(entries: DataFrame, catalog: DataFrame, keys: list[str], picks: DataFrame | None = None) -> DataFrame:
+def validate(entries: DataFrame, catalog: DataFrame, keys: list[str], picks: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Field checks, catalog match, discrepancy note, warnings and float32 score.
-    picks: rows (keys, ref_no) that override the similarity pick."""
+    picks: rows (keys, ref_no) that override the similarity pick. scratch: where the
+    entries with their picks are written, since searching and scoring read them both."""
     pairs = candidates(entries.select(*keys, "name", "address", "phone"), catalog, keys)
     picked = pick_reference(pairs, keys, spaced=False).select(*keys, "ref_no", "ref_name", F.col("ref_phone").alias("ref_phone"))
     if picks is not None:
@@ -127,6 +129,7 @@ def validate(entries: DataFrame, catalog: DataFrame, keys: list[str], picks: Dat
         picked = picked.join(other, keys, "left").select(*keys, F.coalesce("_no", "ref_no").alias("ref_no"), F.coalesce("_name", "ref_name").alias("ref_name"), F.coalesce("_phone", "ref_phone").alias("ref_phone"))
     digits = text.digits_only("phone")
     joined = entries.join(picked, keys, "left")
+    joined = joined if scratch is None else scratch.keep(joined)
     # names are only searched where the number is given and unknown
     lost = joined.where(F.col("ref_no").isNull() & (F.col("phone") != "") & (text.name_key("name") != "")).select(*keys, "name")
     names = by_name(catalog).select(F.col("name").alias("cat_name"), F.col("phone").alias("cat_phone"), F.col("ref_no").alias("cat_no"))

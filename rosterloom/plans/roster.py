@@ -12,6 +12,7 @@ from rosterloom.functions import checks, dates
 from rosterloom.operators import catalog as cat
 from rosterloom.operators import entries as ent
 from rosterloom.operators import geometry, judge, segment
+from rosterloom.scratch import Scratch
 from rosterloom.sources import sinks
 
 SHIFT = ["doc_id", "col_index", "day_no", "shift_no"]
@@ -24,11 +25,13 @@ class Recogniser(Protocol):
     def recognise(self, images: DataFrame) -> DataFrame: ...
 
 
-def entries_of(lines: DataFrame, columns: DataFrame) -> DataFrame:
-    """OCR lines of pages and their columns to flat entries with date and shift."""
+def entries_of(lines: DataFrame, columns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """OCR lines of pages and their columns to flat entries with date and shift.
+    scratch: where the lines of days are written, since dates and shifts read them both."""
     placed = geometry.column_of_line(geometry.line_role(ent.layout_lines(lines), columns).where("role = 'body'"), columns)
     keys = ["doc_id", "col_index"]
     days = segment.days_from_anchors(placed, keys, ["y0", "x0", "line_no"], checks.is_date_line("norm_text"))
+    days = days if scratch is None else scratch.keep(days)
     date = days.where(checks.is_date_line("norm_text") & ~F.col("in_head")).groupBy(*keys, "day_no").agg(F.min_by(dates.parse_date("norm_text"), F.struct("y0", "x0", "line_no")).alias("date"))
     body = days.where(~F.col("in_head") & ~checks.is_date_line("norm_text"))
     shifts = segment.split_by_marker(body, [*keys, "day_no"], checks.is_time_line("norm_text"))
@@ -53,11 +56,13 @@ def read_lines(images: DataFrame, columns: DataFrame, recogniser: Recogniser) ->
 
 def linked(lines: DataFrame, columns: DataFrame, catalog: DataFrame, identity: Callable[[DataFrame], DataFrame] | None, gates: judge.Gates) -> tuple[DataFrame, DataFrame]:
     """Distinct entries filled from the catalog and validated, and the warnings of
-    the fill: ENTRY, warning. Entries and results are persisted (they spill to
-    disk), because linking and warnings read them several times."""
-    found = ent.distinct_entries(entries_of(lines, columns), SHIFT, ["entry_no"]).persist()
+    the fill: ENTRY, warning. Entries and results are written to shared scratch,
+    because linking and warnings read them several times: a plan that reads a
+    persisted table holds that table's plan as well, and the driver keeps each."""
+    scratch = Scratch(lines.sparkSession)
+    found = scratch.keep(ent.distinct_entries(entries_of(lines, columns, scratch), SHIFT, ["entry_no"]))
     pairs = cat.candidates(found.select(*ENTRY, "name", "address", "phone"), catalog, ENTRY)
-    picks = cat.pick_reference(pairs, ENTRY).persist()
+    picks = scratch.keep(cat.pick_reference(pairs, ENTRY))
     chosen = picks
     notes = found.select(*ENTRY, F.lit(None).cast("string").alias("warning")).where("false")
     if identity is not None:
@@ -66,8 +71,10 @@ def linked(lines: DataFrame, columns: DataFrame, catalog: DataFrame, identity: C
         better = pairs.join(decided.select(*ENTRY, "ref_no"), [*ENTRY, "ref_no"], "left_semi")
         chosen = picks.join(decided.select(*ENTRY), ENTRY, "left_anti").drop("score").unionByName(better.select(*(c for c in picks.columns if c != "score")))
         notes = decided.where("warning is not null").select(*ENTRY, "warning")
-    filled = cat.fill(found, chosen, ENTRY).drop("ref_no").persist()
-    return cat.validate(filled, catalog, ENTRY, chosen.select(*ENTRY, "ref_no")).persist(), notes
+    filled = scratch.keep(cat.fill(found, chosen, ENTRY).drop("ref_no"))
+    checked = scratch.keep(cat.validate(filled, catalog, ENTRY, chosen.select(*ENTRY, "ref_no"), scratch))
+    scratch.drop(filled)
+    return checked, notes
 
 
 def parse(lines: DataFrame, columns: DataFrame, catalog: DataFrame, identity: Callable[[DataFrame], DataFrame] | None = None, gates: judge.Gates | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from rosterloom import schema
 from rosterloom.functions import checks, dates, raster
 from rosterloom.operators import catalog as cat
 from rosterloom.operators import entries, geometry, judge, report, segment, state
-from rosterloom.plans import queries, roster
+from rosterloom.plans import queries, roster, roster_queries
 from rosterloom.sources import files, html, sinks
 
 
@@ -345,3 +345,11 @@ def test_raster(spark):
     assert raster.resize(a, 20, 12).shape == (12, 20, 1) and raster.tensor(a, [0.5], [0.5]).max() == 1
     img = spark.createDataFrame([("i", (bytearray(a.tobytes()), 40, 24))], schema.IMAGES)
     assert len(img.select(raster.text_row_boxes("img").alias("b")).first().b) == 2
+
+
+def test_parse_plan_stays_small(spark):
+    """The driver keeps plans, and a plan over persisted tables holds theirs, too."""
+    d = "/root/testdata/sf0.001"
+    parts = roster_queries.planted_pages(spark, d), roster_queries.planted_catalog(spark, d)
+    plan = roster.parse(*parts[0], parts[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and plan.count("\n") < 50  # 2,471 nodes when its tables were persisted
