@@ -169,10 +169,13 @@ def find_repeats(df: DataFrame, scratch: Scratch, min_words: int = 10, unit_word
 
 def drop_repeats(df: DataFrame, scratch: Scratch, min_words: int = 10, unit_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with repeated passages cut from the text; other columns as they are."""
-    found = _passages(df, scratch, min_words, unit_words, id_col, text_col)
+    working = Scratch(scratch.spark)
+    found = _passages(df, working, min_words, unit_words, id_col, text_col)
     mark = F.struct("start", "end", F.lit("").alias("mark"))
     spans = found.groupBy(F.col("id").alias("_id"), F.col("own").alias("_own")).agg(F.array_sort(F.collect_list(mark)).alias("_spans"))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (_same_text(id_col, text_col) == F.col("_own"))
-    joined = df.join(scratch.keep(spans), same, "left")
+    spans = scratch.keep(spans)
+    working.close()  # only spans are read from here on
+    joined = df.join(spans, same, "left")
     text = F.col(text_col)
     return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), replaced(text, F.col("_spans"))).otherwise(text)).select(*df.columns)

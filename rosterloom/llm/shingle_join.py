@@ -358,6 +358,8 @@ def similar_pairs(
 def keep_first(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of df whose id is the least of their component, with all columns.
     Rows without an id stay; of rows equal in id, all stay or none."""
-    found = jaccard_classes(df, scratch, id_col=id_col, text_col=text_col, **options)
-    later = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col)).distinct()
-    return df.join(scratch.keep(later), id_col, "left_anti").select(*df.columns)
+    working = Scratch(scratch.spark)
+    found = jaccard_classes(df, working, id_col=id_col, text_col=text_col, **options)
+    later = scratch.keep(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col)).distinct())
+    working.close()  # only ids are read from here on
+    return df.join(later, id_col, "left_anti").select(*df.columns)

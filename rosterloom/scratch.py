@@ -13,6 +13,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,12 +38,26 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run meanwhile remove their shuffle files as they end; else these
+    stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Writes intermediate tables and removes them.
 
-    ``keep`` writes a DataFrame and returns a reader of what was written.
-    ``drop`` removes tables that are no longer read; those still feeding a
-    returned (lazy) DataFrame stay until the application ends.
+    ``keep`` writes a DataFrame and returns a reader of what was written; its
+    shuffle files go at once, as nothing reads them again. ``drop`` removes tables
+    that are no longer read, ``close`` all of them; those still feeding a returned
+    (lazy) DataFrame stay until the application ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -54,7 +69,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/t{self._n}"
         self._n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        with _shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.__dict__["_scratch_path"] = path
         return out
@@ -65,6 +81,9 @@ class Scratch:
             if path:
                 _delete(self.spark, path)
 
+    def close(self) -> None:
+        _delete(self.spark, self.root)
+
     def _at_exit(self) -> None:
         with contextlib.suppress(Exception):
             _delete(self.spark, self.root)

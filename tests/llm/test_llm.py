@@ -514,3 +514,33 @@ def test_pipeline(spark, tmp_path):
         tokens[r.doc_id] += r.length
     assert tokens == {i: len(HF.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in clean.items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4].count()
+
+
+def test_stages_leave_only_what_they_return(spark, tmp_path, monkeypatch):
+    """keep_first leaves ids on scratch and drop_repeats spans, not their working tables."""
+    monkeypatch.setattr("rosterloom.scratch.shared_dir", lambda _: f"file://{tmp_path}")
+    rows = [(i, f"{(f'alpha{i // 2} beta{i // 2} gamma{i // 2} ') * 4}\nthe same line stands here") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = shingle_join.keep_first(df, Scratch(spark))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+    assert len([*tmp_path.glob("*/*/_SUCCESS")]) == 1
+    cut = repeats.drop_repeats(kept, Scratch(spark))
+    assert [r.doc_id for r in cut.where("text like '%the same line%'").collect()] == [0] and cut.count() == 20
+    assert len([*tmp_path.glob("*/*/_SUCCESS")]) == 2
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    seen = []
+
+    class Frame:  # stands in for a table that is written
+        schema = spark.range(1).schema
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(name))
+            return spark.range(1).write
+
+    assert Scratch(spark).keep(Frame()).count() == 1
+    assert seen == ["true"] and spark.conf.get(name, None) == before
