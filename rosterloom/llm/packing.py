@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterloom.llm.pretoken import Lexicon, chunk_ids
-from rosterloom.llm.textbuf import Chunk, bounded_batches, chunks
+from rosterloom.llm.textbuf import Chunk, bounded_batches, chunks, trimmed
 
 
 def _byte_signs() -> dict[int, str]:
@@ -61,6 +61,11 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def forget_tokenizers() -> None:
+    """Drops the tokenizers with their tables of seen words, about 100 MB each."""
+    _TOKENIZERS.clear()
+
+
 def binary_cuts(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of documents with so many tokens: each piece's document, start and length."""
     full = counts // longest
@@ -88,7 +93,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 204
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_path)
         for batch in batches:
             for chunk in chunks(batch.column(1)):
@@ -102,6 +107,14 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 204
                 key = batch.column(0).slice(chunk.first, chunk.n).take(pa.array(docs))
                 yield pa.RecordBatch.from_arrays([key, pa.array(starts), pa.array(lengths), ids, pa.array(counts[docs])], names=[id_col, "start", "length", "ids", "doc_tokens"])
 
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # workers are reused by the stages of other operators, which have no use for the table
+        try:
+            yield from encoded(batches)
+        finally:
+            forget_tokenizers()
+
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n in ("start", "length", "ids", "doc_tokens"))])
     pieces = df.select(id_col, text_col).mapInArrow(run, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from rosterloom.llm.scratch import Scratch
 from rosterloom.llm.spans import replaced
-from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, bounded_batches, chunks, mix, slice_hashes
+from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, bounded_batches, chunks, mix, slice_hashes, trimmed
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
@@ -112,6 +112,7 @@ def units(df: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFra
     bounded_batches(df)
     names = ("seq", "start", "end", "words", "whole", "d1", "d2")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(2)):

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from rosterloom.llm.components import components
 from rosterloom.llm.scratch import Scratch
-from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, bounded_batches, chunks, mix, slice_hashes
+from rosterloom.llm.textbuf import LOWER, SPACE, U64, Chunk, bounded_batches, chunks, mix, slice_hashes, trimmed
 
 
 #: Blocks of columns whose sizes bound the overlap of two sets.
@@ -118,6 +118,7 @@ def _loads(df: DataFrame, n: int, bits: int, text_col: str) -> np.ndarray:
     blocks = max(1, (1 << bits) >> 14)
     size = (1 << bits) // blocks
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
@@ -128,6 +129,7 @@ def _loads(df: DataFrame, n: int, bits: int, text_col: str) -> np.ndarray:
             packed = [zlib.compress(x.tobytes(), 1) for x in total.reshape(blocks, size)]
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), type=pa.int32()), pa.array(packed, type=pa.binary())], names=["block", "counts"])
 
+    @trimmed
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -151,6 +153,7 @@ def _prefixes(df: DataFrame, n: int, num: int, den: int, bits: int, id_col: str,
     prefix array<long> (in column order)."""
     loads = df.sparkSession.sparkContext.broadcast(_loads(df, n, bits, text_col))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
@@ -189,6 +192,7 @@ class _Verifier:
     def _within_bounds(self, pairs: DataFrame) -> DataFrame:
         num, den = self._num, self._den
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
@@ -212,6 +216,7 @@ class _Verifier:
         marks[cells.to_numpy(dtype=np.int64)] = True
         marks = self._texts.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked = np.unpackbits(marks.value).astype(bool)
             for batch in batches:
@@ -240,6 +245,7 @@ class _Verifier:
             return close
         num, den = self._num, self._den
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.zeros(batch.num_rows, dtype=bool)

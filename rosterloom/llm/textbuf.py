@@ -10,7 +10,9 @@ with a regular build collides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -43,6 +45,26 @@ def bounded_batches(df: DataFrame) -> None:
         conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns the process's freed memory to the system, which allocators else keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step over Arrow batches that ends with give_back: Python workers outlive
+    their tasks, and what they keep adds to the memory of the stages after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: every output bit depends on every input bit."""
     with np.errstate(over="ignore"):

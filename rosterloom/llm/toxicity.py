@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterloom.llm.textbuf import LOWER, U64, Chunk, bounded_batches, chunks, slice_hashes
+from rosterloom.llm.textbuf import LOWER, U64, Chunk, bounded_batches, chunks, slice_hashes, trimmed
 
 GRADES = 4
 #: Least number of evidence words of grades 2 and 3.
@@ -146,6 +146,7 @@ def train(df: DataFrame, labels: DataFrame, train_rows: int = 8_000, label_col:
     wanted = wanted.orderBy(F.xxhash64(id_col), id_col).limit(train_rows)
     sample = df.select(id_col, text_col).join(F.broadcast(wanted), id_col).select(text_col, "_toxic")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(0)):
@@ -173,6 +174,7 @@ def grade_toxicity(df: DataFrame, model: Model, limit: float = 0.5, id_col: str
     bounded_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
@@ -192,6 +194,7 @@ def keep_clean(df: DataFrame, model: Model, limit: float = 0.5, text_col: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text_col)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(place)):

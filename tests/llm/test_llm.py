@@ -86,6 +86,22 @@ def test_packing(spark):
     assert packing.pack(frame(spark, texts).limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_leaves_workers_without_its_tables(spark):
+    """Workers go on to other stages; what they keep counts beside these in an executor's memory."""
+    packing.pack(frame(spark, ODD), P.path("word_bpe_49k.json")).count()
+
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            pass
+        names = [type(x).__name__ for x in gc.get_objects()]
+        yield pa.RecordBatch.from_arrays([pa.array([names.count("Lexicon") + names.count("WordTokenizer")])], names=["n"])
+
+    rows = spark.range(8).repartition(4).mapInArrow(held, "n long").collect()
+    assert [r.n for r in rows] == [0] * 4
+
+
 def test_packing_buckets(spark, tmp_path):
     packing.write_buckets(packing.pack(frame(spark, ["a b c", "d"]), P.path("word_bpe_49k.json")), str(tmp_path / "b"))
     assert {p.name for p in (tmp_path / "b").glob("bucket=*")} == {"bucket=4", "bucket=2"}
